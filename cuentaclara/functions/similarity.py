@@ -26,8 +26,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(a, b) / total
 
 
-@pandas_udf("double")
-def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)],
         dtype="float64",
@@ -35,7 +34,8 @@ def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return _ratio_udf(a, b)
+    # Made on use: a vectorised UDF needs a running session.
+    return pandas_udf(_ratios, "double")(a, b)
 
 
 def with_similarity(df: DataFrame, left: str, right: str, alias: str) -> DataFrame:

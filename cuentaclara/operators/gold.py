@@ -102,7 +102,9 @@ def event_history(
     ).withColumn("page", F.floor((F.col("_n") - 1) / F.lit(page_size)).cast("bigint"))
     entry = F.struct("_n", "event_type", "actor", "created_at", "details")
     pages = placed.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries"),
+        F.array_sort(
+            F.collect_list(entry), lambda a, b: F.signum(a["_n"] - b["_n"]).cast("int")
+        ).alias("_entries"),
         F.max("created_at").alias("last_event_at"),
     )
     return pages.select(

@@ -63,6 +63,10 @@ def _type_of(field: Column) -> Column:
     return F.coalesce(field["Type"]["Text"], F.lit("OTHER"))
 
 
+def _of_type(fields: Column, kind: str) -> Column:
+    return F.filter(fields, lambda f: _type_of(f) == kind)
+
+
 def _confidence(field: Column) -> Column:
     return F.coalesce(field["ValueDetection"]["Confidence"], F.lit(0.0))
 
@@ -97,9 +101,7 @@ def normalize(df: DataFrame, response: str = "response") -> DataFrame:
     """
     parsed = df.withColumn("_fields", _summary_fields(_documents(response)))
     for kind, name in CORE_FIELDS.items():
-        last = F.try_element_at(
-            F.filter("_fields", lambda f, k=kind: _type_of(f) == k), F.lit(-1)
-        )
+        last = F.try_element_at(_of_type(F.col("_fields"), kind), F.lit(-1))
         field = F.struct(
             last["ValueDetection"]["Text"].alias("value"), _confidence(last).alias("confidence")
         )
@@ -126,8 +128,7 @@ def _extra_fields(fields: Column) -> Column:
 
 def _line_item(cells: Column) -> Column:
     def text_at(kind: str, position: int) -> Column:
-        matching = F.filter(cells, lambda c: _type_of(c) == kind)
-        return F.try_element_at(matching, F.lit(position))["ValueDetection"]["Text"]
+        return F.try_element_at(_of_type(cells, kind), F.lit(position))["ValueDetection"]["Text"]
 
     known = [*CELL_FIELDS, ROW_CELL]
     other = F.filter(cells, lambda c: ~_type_of(c).isin(*known))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuentaclara.operators import quality
+
 def _envelope(df: DataFrame) -> list:
     cols = [F.col("__op").alias("_op"), F.col("__source_ts_ms").alias("_source_ts_ms")]
     if "_kafka_offset" in df.columns:
@@ -73,6 +75,15 @@ def hitl_discrepancies(hitl: DataFrame) -> DataFrame:
     )
 
 
+def valid_changes(clean: DataFrame) -> DataFrame:
+    """Changes that may reach the expense state. A delete needs no valid status: its row may
+    carry nothing but the key."""
+    is_delete = F.coalesce(F.col("_op") == "d", F.lit(False))
+    for predicate in quality.EXPENSE_DROP.values():
+        clean = clean.where(is_delete | quality.holds(predicate))
+    return clean
+
+
 #: topic -> (projection, deletes honoured)
 CLEANERS = {
     "expenses": (clean_expenses, True),

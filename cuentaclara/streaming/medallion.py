@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuentaclara.operators import gold, quality, silver
+from cuentaclara.operators import gold, silver
 from cuentaclara.operators.bronze import bronze_rows
 from cuentaclara.schemas import TOPICS
 from cuentaclara.sources import feeds, tables
@@ -42,7 +42,7 @@ class Lake:
 
 def _rules(topic: str):
     if topic == "expenses":
-        return lambda df: quality.drop_invalid(df, quality.EXPENSE_DROP)
+        return silver.valid_changes
     return None
 
 
