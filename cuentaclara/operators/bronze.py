@@ -20,22 +20,30 @@ def drop_tombstones(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("value").isNotNull())
 
 
-def decode(raw: DataFrame, topic: Topic) -> DataFrame:
-    """Parse ``value`` once; the payload sits in ``doc``, unparsable text in ``doc._corrupt_record``."""
-    parsed = F.from_json(
+def _is_malformed(doc: Column, topic: Topic) -> Column:
+    # A single badly typed field leaves the rest of the record usable, so only text
+    # that yields neither key nor operation counts as malformed.
+    return doc[CORRUPT].isNotNull() & doc[topic.key].isNull() & doc["__op"].isNull()
+
+
+def _parsed(topic: Topic, keep) -> Column:
+    """Zero or one decoded documents: tombstones give none, nor do documents ``keep`` rejects.
+
+    Deciding inside the array means the text is parsed exactly once per message. As a filter
+    the decision would be pushed below the projection and parse every message again for each
+    field it looks at.
+    """
+    doc = F.from_json(
         F.col("value").cast("string"),
         topic.json_schema,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
-    return drop_tombstones(raw).withColumn("doc", parsed)
+    return F.filter(F.array(doc), lambda d: d.isNotNull() & keep(d))
 
 
-def _is_malformed(topic: Topic) -> Column:
-    # A single badly typed field leaves the rest of the record usable, so only text
-    # that yields neither key nor operation counts as malformed.
-    doc = F.col("doc")
-    lost = doc[topic.key].isNull() & doc["__op"].isNull()
-    return doc[CORRUPT].isNotNull() & lost
+def decode(raw: DataFrame, topic: Topic) -> DataFrame:
+    """Well-formed messages with their payload in ``doc``."""
+    return raw.withColumn("doc", F.explode(_parsed(topic, lambda d: ~_is_malformed(d, topic))))
 
 
 def field_names(raw: Column) -> Column:
@@ -80,7 +88,6 @@ def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None)
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     return (
         decode(raw, topic)
-        .where(~_is_malformed(topic))
         .select(
             *payload,
             *extra,
@@ -101,8 +108,7 @@ def dead_letters(raw: DataFrame, topic: Topic, received_at: Column | None = None
 
     origin = F.col("topic") if "topic" in raw.columns else F.lit(topic.name)
     return (
-        decode(raw, topic)
-        .where(_is_malformed(topic))
+        raw.withColumn("doc", F.explode(_parsed(topic, lambda d: _is_malformed(d, topic))))
         .select(
             origin.alias("topic_original"),
             meta("partition", "int").alias("partition"),

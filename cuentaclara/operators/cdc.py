@@ -20,12 +20,11 @@ DELETE = "_op = 'd'"
 def fold_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, tombstones included.
 
-    ``max_by`` combines on the map side: each task ships one row per key it saw, so a
-    key with a third of all changes costs one row per task.
+    Each map task keeps one row per key before the shuffle (WindowGroupLimit), so a key with
+    a third of all changes costs one row per task; columns nobody reads are pruned below it.
     """
-    rest = [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
+    newest = [F.col(c).desc() for c in order]
+    return skew.top_per_key(df, keys, newest, 1, "_rank").drop("_rank")
 
 
 def apply_changes(

@@ -184,47 +184,46 @@ def lexical_topk(
 ) -> DataFrame:
     """BM25 top ``k`` per query within its tenant. ``queries`` has query_id, tenant_id, query_text.
 
-    Term counts are taken inside each row; only the terms of the batch are exploded, so the
-    shuffle carries matches, not the corpus vocabulary.
+    Texts are read twice, once for the statistics and once for the scores, and never shuffled:
+    term counts are taken inside each row, and what leaves a task is one row per (query, chunk)
+    that share a term.
     """
     small = _is_small(queries) if small_batch is None else small_batch
     distinct_terms = F.array_distinct(tokens(F.col("query_text")))
     terms = queries.select("query_id", "tenant_id", F.explode(distinct_terms).alias("term"))
-    vocabulary = terms.select("tenant_id", "term").distinct()
-    by_tenant = vocabulary.groupBy("tenant_id").agg(F.collect_set("term").alias("_vocabulary"))
+    vocabulary = terms.groupBy("tenant_id").agg(F.collect_set("term").alias("_vocabulary"))
 
-    docs = chunks.select("chunk_id", "tenant_id", tokens(F.col("chunk_text")).alias("_tokens"))
-    docs = docs.withColumn("_length", F.size("_tokens"))
-    corpus = docs.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("_docs"), F.avg("_length").alias("_avg_length")
+    matched = F.filter("_tokens", lambda t: F.array_contains("_vocabulary", t))
+    counted = F.transform(
+        F.array_distinct("_matched"),
+        lambda t: F.struct(t.alias("term"), F.size(F.filter("_matched", lambda m: m == t)).alias("tf")),
     )
-    hits = (
-        docs.join(_hint(by_tenant, small), "tenant_id")
-        .select(
-            "chunk_id", "tenant_id", "_length",
-            F.explode(F.filter("_tokens", lambda t: F.array_contains("_vocabulary", t))).alias("term"),
-        )
-        .groupBy("tenant_id", "chunk_id", "_length", "term")
-        .agg(F.count(F.lit(1)).alias("_tf"))
+    docs = (
+        chunks.select("chunk_id", "tenant_id", tokens(F.col("chunk_text")).alias("_tokens"))
+        .join(_hint(vocabulary, small), "tenant_id")
+        .select("chunk_id", "tenant_id", F.size("_tokens").alias("_length"), matched.alias("_matched"))
+        .select("chunk_id", "tenant_id", "_length", counted.alias("_hits"))
+    )
+    # One row per matched term, and one with an empty term that stands for the chunk itself.
+    marks = F.concat(F.array(F.lit("")), F.transform("_hits", lambda h: h["term"]))
+    tally = docs.select("tenant_id", "_length", F.explode(marks).alias("term")).groupBy("tenant_id", "term").agg(
+        F.count(F.lit(1)).alias("_df"), F.avg("_length").alias("_avg_length")
     )
-    frequency = hits.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("_df"))
-    stats = frequency.join(corpus, "tenant_id").withColumn(
+    corpus = tally.where(F.col("term") == "").select("tenant_id", F.col("_df").alias("_docs"), "_avg_length")
+    stats = tally.where(F.col("term") != "").drop("_avg_length").join(corpus, "tenant_id").withColumn(
         "_idf", F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     )
-    weighted = hits.join(stats, ["tenant_id", "term"]).withColumn(
-        "_weight",
-        F.col("_idf") * F.col("_tf") * (k1 + 1)
-        / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / F.col("_avg_length"))),
+    asked = terms.join(stats, ["tenant_id", "term"])
+    weight = F.col("_idf") * F.col("tf") * (k1 + 1) / (
+        F.col("tf") + k1 * (1 - b + b * F.col("_length") / F.col("_avg_length"))
     )
     scored = (
-        weighted.join(terms, ["tenant_id", "term"])
+        docs.select("chunk_id", "tenant_id", "_length", F.inline("_hits"))
+        .join(_hint(asked, small), ["tenant_id", "term"])
         .groupBy("query_id", "tenant_id", "chunk_id")
-        .agg(F.sum("_weight").alias("_bm25"))
-        .withColumn("lexical_score", F.round("_bm25", 6))
-    )
-    return top_per_key(
-        scored.drop("_bm25"), ["query_id"], [F.col("lexical_score").desc(), F.col("chunk_id")], k, "rank"
+        .agg(F.round(F.sum(weight), 6).alias("lexical_score"))
     )
+    return top_per_key(scored, ["query_id"], [F.col("lexical_score").desc(), F.col("chunk_id")], k, "rank")
 
 
 def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = DEFAULT_K, damping: int = RRF_K) -> DataFrame:

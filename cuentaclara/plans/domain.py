@@ -58,6 +58,12 @@ class Domain:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Give heavy per-row work all cores when the input is one small file; larger inputs
+        are read in enough partitions already and pass through."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < 2 else df
+
     # --- change feed of expenses, from events ---------------------------------------------
 
     @cached_property
@@ -71,7 +77,7 @@ class Domain:
     def expense_messages(self) -> DataFrame:
         """Broker messages; some are tombstones (k = 9), some are cut off (k = 7)."""
         iso = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
-        doc = self.events_k.selectExpr(
+        doc = self.spread(self.events_k).selectExpr(
             "event_id", "ts", "user_id", "k",
             f"""to_json(named_struct(
                 'expense_id', 'exp_' || user_id || '_' || (k % 20),
@@ -121,7 +127,7 @@ class Domain:
     def receipt_messages(self) -> DataFrame:
         """Half of the producers still send ``mime_type`` instead of ``content_type``."""
         jpeg = F.col("content_type") == "image/jpeg"
-        shaped = self.receipts.withColumn("mime_type", F.when(jpeg, F.col("content_type"))).withColumn(
+        shaped = self.spread(self.receipts).withColumn("mime_type", F.when(jpeg, F.col("content_type"))).withColumn(
             "content_type", F.when(~jpeg, F.col("content_type"))
         )
         return self.as_messages(shaped, "receipts", "'c'", "unix_millis(uploaded_at)", "size_bytes")
@@ -146,12 +152,12 @@ class Domain:
     @cached_property
     def ocr_messages(self) -> DataFrame:
         return self.as_messages(
-            self.ocr.drop("o_orderkey"), "ocr_extractions", "'u'", "unix_millis(extracted_at)", "0L"
+            self.spread(self.ocr.drop("o_orderkey")), "ocr_extractions", "'u'", "unix_millis(extracted_at)", "0L"
         )
 
     @cached_property
     def event_messages(self) -> DataFrame:
-        rows = self.timeline.drop("actor_type", "actor_id", "trace_id", "user_id")
+        rows = self.spread(self.timeline.drop("actor_type", "actor_id", "trace_id", "user_id"))
         # The actor is an object on the wire.
         text = F.to_json(F.struct(
             *[F.col(c) for c in rows.columns if c not in ("n", "k", "actor")], F.lit("@@").alias("actor"),
@@ -250,7 +256,7 @@ class Domain:
     @cached_property
     def hitl_changes(self) -> DataFrame:
         """Change log of review tasks, in the shape of the silver projection."""
-        return self.source("lineitem").selectExpr(
+        return self.spread(self.source("lineitem")).selectExpr(
             "'hitl_' || l_orderkey || '_' || l_linenumber AS task_id",
             "'t_' || (l_orderkey % 5) AS tenant_id",
             "'exp_' || lpad(cast(l_orderkey AS string), 8, '0') AS expense_id",
@@ -429,7 +435,7 @@ class Domain:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.source("documents").selectExpr(
+        return self.spread(self.source("documents")).selectExpr(
             "'chk_' || doc_id AS chunk_id", "'t_' || (doc_id % 5) AS tenant_id",
             "'exp_' || lpad(cast(doc_id AS string), 8, '0') AS expense_id", "text AS chunk_text",
             "TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int)) AS approved_at",
@@ -474,14 +480,14 @@ class Domain:
             array({field('TOTAL', amount + " || ' ' || currency", '50 + o_orderkey % 50')}),
             CASE WHEN o_orderkey % 7 <> 0 THEN array({field('INVOICE_RECEIPT_DATE', "date_format(date, 'dd/MM/yyyy')", '90')}) ELSE array() END,
             array({field('TAX', 'cast(o_orderkey % 1000 AS string)', '80', "'IVA'")},
-                  {field('LOYALTY_ID', "'L' || o_custkey", '0')}))"""
+                  {field('LOYALTY_ID', "'L' || substr(user_id, 3)", '0')}))"""
         items = f"""transform(slice(array(1, 2, 3), 1, cast(o_orderkey % 4 AS int)), i -> named_struct('LineItemExpenseFields', array(
             {cell('ITEM', "'item ' || i", '90')}, {cell('PRICE', 'cast(i * 10 AS string)', '80 + o_orderkey % 10')},
             {cell('EXPENSE_ROW', "'row ' || i", '0')}, {cell('EXPENSE_ROW', "'again'", '0')}, {cell('COLOR', "'c' || i", '70')})))"""
         empty_line = "array(named_struct('LineItemExpenseFields', filter(array({}), x -> false)))".format(cell("ITEM", "'x'", "1"))
         return (
-            self.source("orders").select("o_orderkey", "o_custkey")
-            .join(self.expenses.select("o_orderkey", "expense_id", "tenant_id", "amount", "currency", "date", "vendor"), "o_orderkey")
+            self.spread(self.expenses.select(
+                "o_orderkey", "expense_id", "tenant_id", "user_id", "amount", "currency", "date", "vendor"))
             .selectExpr(
                 "expense_id", "tenant_id", "o_orderkey",
                 f"""to_json(named_struct('ExpenseDocuments', array(named_struct(
@@ -503,7 +509,8 @@ class Domain:
         total = block.format("QUERY_RESULT", "r0", "cast(amount AS string)", "95", "NULL")
         day = block.format("QUERY_RESULT", "r1", "cast(date AS string)", "40 + o_orderkey % 60", "NULL")
         vendor = block.format("QUERY_RESULT", "r2", "upper(vendor)", "70", "NULL")
-        return self.expenses.selectExpr(
+        orders = self.spread(self.expenses.select("o_orderkey", "expense_id", "tenant_id", "amount", "date", "vendor"))
+        return orders.selectExpr(
             "expense_id", "tenant_id", "o_orderkey",
             f"""to_json(named_struct('Blocks', concat(array({asked}), array({total}, {day}),
                 CASE WHEN o_orderkey % 3 <> 0 THEN array({vendor}) ELSE array() END))) AS response""",
