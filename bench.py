@@ -38,7 +38,7 @@ def selection() -> list[str]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
@@ -54,6 +54,7 @@ def main() -> None:
     for name in selection():
         once(name)
         times[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1], "cpus": int(cpus), "spark": spark.version, "runs": runs,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -26,30 +28,28 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(a, b) / total
 
 
+@lru_cache(maxsize=65_536)
+def _cached_ratio(a: str, b: str) -> float:
+    return indel_ratio(a, b)
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
-        [None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)],
+        [None if x is None or y is None else _cached_ratio(x, y) for x, y in zip(a, b, strict=True)],
         dtype="float64",
     )
 
 
 def similarity(a: Column, b: Column) -> Column:
-    # Made on use: a vectorised UDF needs a running session.
-    return pandas_udf(_ratios, "double")(a, b)
+    """Ratio of two texts, NULL when either is NULL.
 
-
-def with_similarity(df: DataFrame, left: str, right: str, alias: str) -> DataFrame:
-    """Attach the ratio of two text columns, computed once per distinct pair.
-
-    Equal pairs never leave the JVM; NULL on either side gives NULL.
+    Row-local, so a pair that a third of all rows share costs nothing extra: no join on the
+    texts is needed, and each worker remembers the pairs it met. Equal texts are settled
+    before the call and reach Python only as NULLs.
     """
-    differs = F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))
-    pairs = (
-        df.where(differs)
-        .select(F.col(left).alias("_a"), F.col(right).alias("_b"))
-        .distinct()
-        .withColumn("_ratio", similarity(F.col("_a"), F.col("_b")))
-    )
-    joined = df.join(pairs, (df[left] == pairs["_a"]) & (df[right] == pairs["_b"]), "left")
-    value = F.when(F.col(left) == F.col(right), F.lit(1.0)).otherwise(F.col("_ratio"))
-    return joined.withColumn(alias, value).drop("_a", "_b", "_ratio")
+    differs = a != b
+    # Made on use: a vectorised UDF needs a running session. Not deterministic in name only:
+    # a filter on the result would otherwise be pushed below the call and call it twice.
+    udf = pandas_udf(_ratios, "double").asNondeterministic()
+    ratio = udf(F.when(differs, a), F.when(differs, b))
+    return F.when(a == b, F.lit(1.0)).otherwise(ratio)

@@ -20,12 +20,9 @@ def amount_value(raw: Column) -> Column:
 
     NULL when nothing parsable is left: ``24.395,00 EUR`` gives 24395.0 and ``1,234`` gives 1.234.
     """
-    kept = F.regexp_replace(raw.cast("string"), r"[^0-9,.\-]", "")
-    from_end_dot = F.instr(F.reverse(kept), ".")
-    from_end_comma = F.instr(F.reverse(kept), ",")
-    comma_is_decimal = (from_end_comma > 0) & (
-        (from_end_dot == 0) | (from_end_comma < from_end_dot)
-    )
+    text = raw.cast("string")
+    kept = F.regexp_replace(text, r"[^0-9,.\-]", "")
+    comma_is_decimal = F.regexp_extract(text, r"([.,])[^.,]*$", 1) == ","
     # translate() drops characters that have no counterpart.
     plain = F.when(comma_is_decimal, F.translate(kept, ",.", ".")).otherwise(
         F.translate(kept, ",", "")

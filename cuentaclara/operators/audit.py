@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuentaclara.functions.similarity import with_similarity
+from cuentaclara.functions.similarity import similarity
 from cuentaclara.functions.text import amount_value, date_value
 
 AMOUNT_TOLERANCE = 0.01
@@ -44,7 +44,7 @@ def compare_fields(
         "_date": F.nullif(F.col("date").cast("string"), F.lit("")),
         "_ocr_date": F.nullif(F.col("ocr_date").cast("string"), F.lit("")),
     })
-    joined = with_similarity(joined, "_vendor", "_ocr_vendor", "vendor_similarity")
+    joined = joined.withColumn("vendor_similarity", similarity(F.col("_vendor"), F.col("_ocr_vendor")))
 
     both = (F.col("_amount") != 0) & (F.col("_ocr_amount") != 0)
     gap = F.abs(F.col("_amount") - F.col("_ocr_amount")) / F.nullif(
