@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: what runs there travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _WORD = re.compile(r"[a-z0-9]+")
 
 

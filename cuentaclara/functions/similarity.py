@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+# Executors need not have this package installed: what runs there travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence by the bit-vector recurrence (one big-integer step per character)."""
@@ -28,23 +32,24 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 if total == 0 else 2.0 * lcs_length(a, b) / total
 
 
-@lru_cache(maxsize=65_536)
-def _cached_ratio(a: str, b: str) -> float:
-    return indel_ratio(a, b)
-
-
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else _cached_ratio(x, y) for x, y in zip(a, b, strict=True)],
-        dtype="float64",
-    )
+    seen: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair[0] is None or pair[1] is None:
+            out.append(None)
+            continue
+        if pair not in seen:
+            seen[pair] = indel_ratio(*pair)
+        out.append(seen[pair])
+    return pd.Series(out, dtype="float64")
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Ratio of two texts, NULL when either is NULL.
 
     Row-local, so a pair that a third of all rows share costs nothing extra: no join on the
-    texts is needed, and each worker remembers the pairs it met. Equal texts are settled
+    texts is needed, and a repeated pair is computed once per batch. Equal texts are settled
     before the call and reach Python only as NULLs.
     """
     differs = a != b

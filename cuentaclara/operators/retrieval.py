@@ -78,7 +78,7 @@ def embed(chunks: DataFrame, embedder: Embedder, *, batch_size: int = 16, text:
     A batch whose result count differs from its input count fails the task, so a partial
     answer can never shift vectors onto the wrong chunks.
     """
-    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T._parse_datatype_string(vector_type))])
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.DataType.fromDDL(vector_type))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1056,7 +1056,7 @@ ORACLES["ocr_merge"] = oracle.complete(_MERGE)
 
 
 @query("amount_normalize", """
-    SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE WHEN (l_orderkey + l_linenumber) % 5 = 4 THEN NULL ELSE CAST(p AS DOUBLE) END AS amount FROM (
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, raw, CASE WHEN (l_orderkey + l_linenumber) % 5 = 4 THEN NULL ELSE CAST(p AS DOUBLE) END AS amount FROM (
       SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS p,
              CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ' COP'
                WHEN 1 THEN replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || ' EUR'

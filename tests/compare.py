@@ -13,7 +13,7 @@ TABLES = (
 ).split()
 _KINDS = {
     "bigint": "int", "string": "str", "double": "float", "boolean": "bool", "timestamp_ntz": "ts",
-    "BIGINT": "int", "VARCHAR": "str", "DOUBLE": "float", "BOOLEAN": "bool", "TIMESTAMP": "ts", "INTEGER": "int",
+    "BIGINT": "int", "VARCHAR": "str", "DOUBLE": "float", "BOOLEAN": "bool", "TIMESTAMP": "ts",
 }
 
 
