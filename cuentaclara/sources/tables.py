@@ -39,12 +39,17 @@ def seed_collection(spark: SparkSession, source: str, target: str, topic: Topic)
     return overwrite_snapshot(snapshot_rows(read_collection(spark, source, topic), topic), target)
 
 
+def _balanced(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one partition value together, in tasks of even size: AQE splits a value that is
+    too large over several tasks and packs small values, which keeps files few but not huge."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
+
+
 def overwrite_partitioned(
     df: DataFrame, path: str, by: Sequence[str] = ("tenant_id",), *, rows_per_file: int = 2_000_000
 ) -> None:
-    """Replace a table laid out by tenant. Rows stay in their input partitions, so a tenant with
-    a large share of all rows is written by many tasks, and files are cut by row count."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+    """Replace a table laid out by tenant; files are cut by row count."""
+    _balanced(df, by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 
 def overwrite_clustered(df: DataFrame, path: str, by: Sequence[str] = ("tenant_id", "final_date")) -> None:
@@ -55,7 +60,7 @@ def overwrite_clustered(df: DataFrame, path: str, by: Sequence[str] = ("tenant_i
 def overwrite_touched_partitions(df: DataFrame, path: str, by: Sequence[str] = ("tenant_id",)) -> None:
     """Replace only the partitions that ``df`` has rows for."""
     (
-        df.write.mode("overwrite")
+        _balanced(df, by).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)
@@ -65,7 +70,7 @@ def overwrite_touched_partitions(df: DataFrame, path: str, by: Sequence[str] = (
 def append_embeddings(df: DataFrame, path: str) -> None:
     """Append (chunk_id, tenant_id, embedding, updated_at); readers take the newest per chunk."""
     columns = df.select("chunk_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), "updated_at")
-    columns.write.mode("append").partitionBy("tenant_id").parquet(path)
+    _balanced(columns, ["tenant_id"]).write.mode("append").partitionBy("tenant_id").parquet(path)
 
 
 def hourly_partitions(df: DataFrame, clock: str) -> DataFrame:

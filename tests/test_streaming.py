@@ -134,3 +134,11 @@ def test_sinks(spark, domain, tmp_path):
     admin = tables.read_for(spark, f"{tmp_path}/part", tables.Caller(is_admin=True))
     nobody = tables.read_for(spark, f"{tmp_path}/part", tables.Caller())
     assert admin.count() == after.count() and nobody.isEmpty()
+
+
+def test_partitioned_files_are_few(spark, domain, tmp_path):
+    import glob
+
+    many = domain.expenses.select("expense_id", "tenant_id").repartition(16)
+    tables.overwrite_partitioned(many, f"{tmp_path}/t")
+    assert len(glob.glob(f"{tmp_path}/t/tenant_id=*/*.parquet")) == 5  # not 16 tasks x 5 tenants
