@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.llm import exact_dedup, language_id, mixing, sentence_pieces
+from cuentaclara.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces
 from cuentaclara.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def _(spark, sf_dir):
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op6_jaccard_join")
+def _(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_exact_dedup", r"""
     SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
            sha256(body) AS text_sha256
