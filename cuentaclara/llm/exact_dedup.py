@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from cuentaclara.llm.common import own_columns, shared_dir, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, memory bounded per executor, and no files allocated ahead of what the state needs.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ARRIVALS = "row_key string, doc_id long, digest string"
 #: Smallest identifier first, nulls last; the locator decides between rows that share the identifier.
 KEEP_ORDER = "struct(doc_id IS NULL AS missing, doc_id, row_key)"
@@ -54,11 +59,9 @@ def run_stream(spark: SparkSession, landing: str, files_per_batch: int, checkpoi
     """
     checkpoint = checkpoint or shared_dir(spark, "dedup-stream")
     state_path = state_path or shared_dir(spark, "dedup-state")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
-    before = {k: spark.conf.get(k, None) for k in (setting, bounded)}
-    spark.conf.set(setting, STATE_STORE)
-    spark.conf.set(bounded, "true")
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(ARRIVALS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
