@@ -31,7 +31,8 @@ ship(__name__)
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
-BUCKETS = 1 << 15
+BITS = 14
+BUCKETS = 1 << BITS
 SHARPNESS = 6.0
 #: Classes a model may have; the most frequent values of lang are learned.
 MAX_LANGUAGES = 200
@@ -59,7 +60,7 @@ def presence(texts: list[str | None]) -> np.ndarray:
                 if len(codes) < n:
                     break
                 h = (h[: len(codes) - n + 1] * np.uint32(0x01000193)) ^ codes[n - 1:]
-                mixed = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
+                mixed = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
                 out[i, k, mixed] = True
     return out
 
@@ -91,8 +92,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed:
     languages = sorted(set(langs))
     order = np.random.default_rng(seed).permutation(len(texts))
     marks = normalised(presence([texts[i] for i in order[:landmarks]]))
-    gram = marks.astype("float64") @ marks.T.astype("float64")
-    block = 128
+    gram = (marks @ marks.T).astype("float64")
+    block = 32
     kernel = np.concatenate(
         [normalised(presence(texts[i:i + block])) @ marks.T for i in range(0, len(texts), block)]).astype("float64")
     targets = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
@@ -108,7 +109,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed:
         left = (centered * weight[:, None]).T @ centered + ridge * gram / len(marks) + 1e-9 * np.eye(len(marks))
         coefficients[:, c] = np.linalg.solve(left, (centered * weight[:, None]).T @ (targets[:, c] - mean))
         bias[c] = mean - center @ coefficients[:, c]
-    return Model(languages, (marks.T.astype("float64") @ coefficients).astype("float32"), bias.astype("float32"))
+    return Model(languages, marks.T @ coefficients.astype("float32"), bias.astype("float32"))
 
 
 def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Model | None:
@@ -133,7 +134,7 @@ def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Mod
     return fit([t for _, t in rows], [lang for lang, _ in rows], landmarks, ridge)
 
 
-def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 400, ridge: float = 1e-3,
+def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3,
              learn_from: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row; ``keep`` names further columns to carry along."""
     model = train(learn_from if learn_from is not None else docs, train_rows, landmarks, ridge)
