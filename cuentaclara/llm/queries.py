@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces
+from cuentaclara.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentence_pieces, warc
 from cuentaclara.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_warc")
+def _(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_pii")
+def _(spark, sf_dir):
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op4_licenses")
+def _(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mixing", r"""
     WITH RECURSIVE d AS (
         SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -74,6 +90,11 @@ def _(spark, sf_dir):
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), texts=False)
 
 
+@query("op9_quality")
+def _(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_language_id")
 def _(spark, sf_dir):
     return language_id.classify(table(spark, sf_dir, "documents"))
