@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,24 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """All columns and ``row_key``, a content locator (file and row in it) that is the same in every scan.
+
+    A frame that is not a plain scan is written to the shared folder first, and that table is scanned.
+    """
+    key = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_key")
+    plain = [F.col(f"`{c}`") for c in docs.columns if c != "row_key"]
+    try:
+        return docs.select(*plain, key)
+    except AnalysisException:
+        return written(docs, "rows").select(*plain, key)
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose row_key is not in ``gone``."""
+    return keyed.join(gone.select("row_key"), "row_key", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are evaluated once per row, however often later expressions name them.
 

@@ -17,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.llm.common import own_columns, shared_dir, written
+from cuentaclara.llm.common import own_columns, shared_dir, with_row_key, without_rows, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: State on disk, memory bounded per executor, and no files allocated ahead of what the state needs.
@@ -86,29 +85,19 @@ def run_stream(spark: SparkSession, landing: str, files_per_batch: int, checkpoi
                          F.col("s.n").alias("n"))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The rows with a content locator (file and row in it) that is the same in every scan.
-
-    A frame that is not a plain scan is written to the shared folder first.
-    """
-    def keyed(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_key"),
-            F.col("`doc_id`").cast("long").alias("doc_id"), normalised(F.col("`text`")).alias("body"))
-
-    try:
-        return keyed(docs)
-    except AnalysisException:
-        return keyed(written(own_columns(docs, "doc_id", "text"), "dedup-rows"))
-
-
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = 2000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest and row_key.
 
     Texts move once, by digest; only those of digests with more than one row are written and compared.
     """
-    spark = docs.sparkSession
-    rows = located(docs).withColumn("digest", digest(F.col("body")))
+    return _dedup(with_row_key(own_columns(docs, "doc_id", "text")), digest, files_per_batch)
+
+
+def _dedup(keyed: DataFrame, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
+    spark = keyed.sparkSession
+    rows = keyed.select(
+        "row_key", F.col("`doc_id`").cast("long").alias("doc_id"), normalised(F.col("`text`")).alias("body")
+    ).withColumn("digest", digest(F.col("body")))
     arrivals = written(rows.select("row_key", "doc_id", "digest"), "dedup-arrivals")
     landing = arrivals.inputFiles()[:1][0].rsplit("/", 1)[0]
     state = written(run_stream(spark, landing, files_per_batch), "dedup-latest")
@@ -132,3 +121,10 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row_key") == F.col("keep.row_key")).alias("kept"), "digest", "row_key")
     return single.select(columns).unionByName(same.select(columns)).unionByName(differing.select(columns))
+
+
+def kept_rows(docs: DataFrame, files_per_batch: int = 2000) -> DataFrame:
+    """``docs`` with all its columns, one row of each group of equal texts."""
+    keyed = with_row_key(docs)
+    gone = written(_dedup(keyed, sha256, files_per_batch).where("NOT kept").select("row_key"), "dedup-gone")
+    return without_rows(keyed, gone, docs.columns)

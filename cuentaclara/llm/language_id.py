@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuentaclara.llm.common import own_columns, ship, slices
 
@@ -134,16 +135,14 @@ def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Mod
     return fit([t for _, t in rows], [lang for lang, _ in rows], landmarks, ridge)
 
 
-def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3,
-             learn_from: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row; ``keep`` names further columns to carry along."""
-    model = train(learn_from if learn_from is not None else docs, train_rows, landmarks, ridge)
-    names = ["doc_id", "text", *[k for k in keep if k not in ("doc_id", "text")]]
-    base = docs.select(
-        *[F.col(f"`{n}`") for n in names],
-        F.coalesce(held_out_remainder() == 2, F.lit(True)).alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    carried = [*names, "held_out"] if keep else ["doc_id", "held_out"]
+def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3, whole_rows: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row; with ``whole_rows`` also ``row``, a struct of all its columns."""
+    model = train(docs, train_rows, landmarks, ridge)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    base = own_columns(docs, *docs.columns).select(
+        "doc_id", F.coalesce(held_out_remainder() == 2, F.lit(True)).alias("held_out"), "text",
+        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), *whole)
+    carried = ["doc_id", "held_out", *["row"] * whole_rows]
     if model is None:
         return base.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
@@ -158,16 +157,24 @@ def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridg
             letters = batch.column("has_letter").to_pylist()
             for start, stop in slices(batch, limit=64 << 10):
                 part = batch.column("text").slice(start, stop - start).to_pylist()
-                raw = own.scores(part)
-                share = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
-                share = share.max(axis=1) / share.sum(axis=1)
-                for i, best in enumerate(raw.argmax(axis=1)):
-                    known = letters[start + i]
-                    langs.append(own.languages[best] if known else UNKNOWN)
-                    scores.append(float(share[i]) if known else 0.0)
+                for at in range(0, len(part), 64):
+                    raw = own.scores(part[at: at + 64])
+                    share = np.exp(SHARPNESS * (raw - raw.max(axis=1, keepdims=True)))
+                    share = share.max(axis=1) / share.sum(axis=1)
+                    for i, best in enumerate(raw.argmax(axis=1)):
+                        known = letters[start + at + i]
+                        langs.append(own.languages[best] if known else UNKNOWN)
+                        scores.append(float(share[i]) if known else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in carried] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*carried, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*carried).schema.fields)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = T.StructType(base.select(*carried).schema.fields + [
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return base.mapInArrow(run, schema)
+
+
+def identified_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, without the rows whose language is unknown (null text, or no letter in it)."""
+    kept = classify(docs, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

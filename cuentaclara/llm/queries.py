@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentence_pieces, warc
+from cuentaclara.llm import cover_tree, exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentence_pieces, warc
 from cuentaclara.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_cover_tree", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
+    ok AS (
+        SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
+        WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+    reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+    FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+    JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id""")
+def _(spark, sf_dir):
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_warc")
 def _(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
@@ -87,7 +105,8 @@ def _(spark, sf_dir):
 
 @query("op8_sentence_pieces")
 def _(spark, sf_dir):
-    return sentence_pieces.encode(table(spark, sf_dir, "documents"), texts=False)
+    return sentence_pieces.encode(
+        table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 @query("op9_quality")

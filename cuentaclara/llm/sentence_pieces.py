@@ -49,6 +49,20 @@ def check_model(path: str) -> None:
         raise ValueError("the model normalises texts; chunks would have to be cut after that")
 
 
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: Output columns from number of ids, ids as decimal text, and decoded text.
+MAKE = {
+    "n_tokens": lambda n, ids, decoded: n,
+    "ids": lambda n, ids, decoded: [int(i) for i in ids.split(",")] if ids else [],
+    "decoded": lambda n, ids, decoded: decoded,
+    "ids_sha256": lambda n, ids, decoded: _digest(ids),
+    "decoded_sha256": lambda n, ids, decoded: _digest(decoded),
+}
+
+
 class Chunks:
     """Distinct chunks with their ids as decimal text; apart, the few whose ids decode to other characters."""
 
@@ -102,39 +116,34 @@ def encode_texts(table: Chunks, texts: list[str]) -> Iterator[tuple[int, str, st
     table.trim()
 
 
-def _batches(path: str, keep: list[str], texts: bool):
+def _batches(path: str, outputs: tuple[str, ...]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         table = Chunks(path)
         for batch in batches:
-            columns: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            if texts:
-                columns |= {"ids": [], "decoded": []}
+            columns: dict[str, list] = {name: [] for name in outputs}
             for start, stop in slices(batch):
                 part = [t or "" for t in batch.column("text").slice(start, stop - start).to_pylist()]
                 for n, ids, decoded in encode_texts(table, part):
-                    columns["n_tokens"].append(n)
-                    columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    columns["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if texts:
-                        columns["ids"].append([int(i) for i in ids.split(",")] if ids else [])
-                        columns["decoded"].append(decoded)
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            arrays = [batch.column(k) for k in keep] + [pa.array(v, types.get(k, pa.string())) for k, v in columns.items()]
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + list(columns))
+                    for name in outputs:
+                        columns[name].append(MAKE[name](n, ids, decoded))
+            kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+            arrays = [batch.column("doc_id")] + [pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *outputs])
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str | None = None, texts: bool = True) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text; with ``texts`` also the ids and the decoded text themselves."""
+def encode(docs: DataFrame, model_path: str | None = None,
+           outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id and the ``outputs``: n_tokens, ids, decoded, ids_sha256, decoded_sha256."""
     path = model_path or default_model()
     check_model(path)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if texts:
-        schema += ", ids array<int>, decoded string"
-    return own_columns(docs, "doc_id", "text").mapInArrow(_batches(path, ["doc_id"], texts), schema)
+    kinds = {"n_tokens": "long", "ids": "array<int>"}
+    schema = ", ".join(f"{name} {kinds.get(name, 'string')}" for name in outputs)
+    rows = own_columns(docs, "doc_id", "text")
+    return rows.mapInArrow(_batches(path, outputs), f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
