@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 # Executors need not have this package installed: what runs there travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 class HashingEmbedder:

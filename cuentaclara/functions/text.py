@@ -15,12 +15,27 @@ DATE_SHAPES = (
 )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end; ``trim`` knows blanks only."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def plain_number(value: Column) -> Column:
+    """A double as decimal text, also where its own text form would have an exponent."""
+    long_form = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(value).between(1e7, 1e30), long_form).otherwise(value.cast("string"))
+
+
 def amount_value(raw: Column) -> Column:
     """Number in a money text; whichever of ``,`` and ``.`` comes last is the decimal mark.
 
     NULL when nothing parsable is left: ``24.395,00 EUR`` gives 24395.0 and ``1,234`` gives 1.234.
+    A column of numbers is taken as it is.
     """
-    text = raw.cast("string")
+    return F.when(F.typeof(raw) != "string", raw.try_cast("double")).otherwise(_amount_in_text(raw.cast("string")))
+
+
+def _amount_in_text(text: Column) -> Column:
     kept = F.regexp_replace(text, r"[^0-9,.\-]", "")
     comma_is_decimal = F.regexp_extract(text, r"([.,])[^.,]*$", 1) == ","
     # translate() drops characters that have no counterpart.
@@ -32,7 +47,7 @@ def amount_value(raw: Column) -> Column:
 
 def date_value(raw: Column) -> Column:
     """First date shape that fits, NULL when none does."""
-    text = F.trim(raw)
+    text = stripped(raw)
     tries = [
         F.when(text.rlike(guard), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
         for guard, pattern in DATE_SHAPES
@@ -53,7 +68,7 @@ def one_line(message: Column, width: int = 250) -> Column:
 
 
 def ulid_millis(ulid: Column) -> Column:
-    """Epoch milliseconds in the first ten base-32 characters of a (prefixed) ULID."""
+    """Epoch milliseconds in the first ten base-32 characters of a (prefixed) ULID; NULL if one is not of the alphabet."""
     body = F.regexp_replace(ulid, r"^[^_]*_", "")
     head = F.split(F.upper(F.left(body, F.lit(10))), "")
     # Fixed value: the Crockford base-32 alphabet in digit order.
@@ -61,5 +76,5 @@ def ulid_millis(ulid: Column) -> Column:
     return F.aggregate(
         head,
         F.lit(0).cast("bigint"),
-        lambda acc, ch: acc * F.lit(32) + (F.position(ch, alphabet) - 1),
+        lambda acc, ch: acc * F.lit(32) + (F.nullif(F.position(ch, alphabet), F.lit(0)) - 1),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuentaclara.functions.similarity import similarity
-from cuentaclara.functions.text import amount_value, date_value
+from cuentaclara.functions.text import amount_value, date_value, plain_number, stripped
 
 AMOUNT_TOLERANCE = 0.01
 VENDOR_SIMILARITY_MIN = 0.85
@@ -14,7 +14,7 @@ AUDITED_FIELDS = ("amount", "vendor", "date", "currency")
 
 
 def _folded(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(stripped(c))
 
 
 def compare_fields(
@@ -41,8 +41,8 @@ def compare_fields(
         "_ocr_amount": F.coalesce(amount_value(F.col("ocr_total")), F.lit(0.0)),
         "_vendor": F.nullif(_folded(F.col("vendor")), F.lit("")),
         "_ocr_vendor": F.nullif(_folded(F.col("ocr_vendor")), F.lit("")),
-        "_date": F.nullif(F.col("date").cast("string"), F.lit("")),
-        "_ocr_date": F.nullif(F.col("ocr_date").cast("string"), F.lit("")),
+        "_date": F.nullif(stripped(F.col("date").cast("string")), F.lit("")),
+        "_ocr_date": F.nullif(stripped(F.col("ocr_date").cast("string")), F.lit("")),
     })
     joined = joined.withColumn("vendor_similarity", similarity(F.col("_vendor"), F.col("_ocr_vendor")))
 
@@ -51,11 +51,14 @@ def compare_fields(
         F.greatest("_amount", "_ocr_amount"), F.lit(0.0)
     )
 
+    def shown(name: str) -> Column:
+        return plain_number(F.col(name)) if name in ("_amount", "_ocr_amount") else F.col(name).cast("string")
+
     def conflict(field: str, hit: Column, user: str, found: str, source: str, ratio: Column) -> Column:
         return F.when(hit, F.struct(
             F.lit(field).alias("field"),
-            F.col(user).cast("string").alias("user_value"),
-            F.col(found).cast("string").alias("ocr_value"),
+            shown(user).alias("user_value"),
+            shown(found).alias("ocr_value"),
             F.col(conf[source]).alias("confidence"),
             ratio.alias("similarity"),
         ))

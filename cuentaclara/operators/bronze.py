@@ -21,9 +21,9 @@ def drop_tombstones(raw: DataFrame) -> DataFrame:
 
 
 def _is_malformed(doc: Column, topic: Topic) -> Column:
-    # A single badly typed field leaves the rest of the record usable, so only text
-    # that yields neither key nor operation counts as malformed.
-    return doc[CORRUPT].isNotNull() & doc[topic.key].isNull() & doc["__op"].isNull()
+    # A single badly typed field leaves the rest of the record usable, so only text that yields neither key nor
+    # operation counts as malformed: broken JSON, and JSON of another shape.
+    return doc[topic.key].isNull() & doc["__op"].isNull()
 
 
 def _parsed(topic: Topic, keep) -> Column:
@@ -114,7 +114,7 @@ def dead_letters(raw: DataFrame, topic: Topic, received_at: Column | None = None
             meta("partition", "int").alias("partition"),
             meta("offset", "bigint").alias("offset"),
             F.base64(F.col("value").cast("binary")).alias("payload_raw"),
-            F.lit("malformed JSON").alias("error_message"),
+            F.when(F.col("doc")[CORRUPT].isNotNull(), "malformed JSON").otherwise("neither key nor operation").alias("error_message"),
             (received_at if received_at is not None else F.current_timestamp()).alias("received_at"),
         )
     )

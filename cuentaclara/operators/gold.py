@@ -118,8 +118,21 @@ def event_history(
     )
 
 
-def audit_with_history(audit: DataFrame, history: DataFrame) -> DataFrame:
-    return audit.join(history, ["tenant_id", "expense_id"], "left")
+def history_summary(events: DataFrame, page_size: int = HISTORY_PAGE) -> DataFrame:
+    """One row per (tenant, expense): number of events, the last one, and how many pages of history there are."""
+    last = F.max_by(F.struct("event_type", "created_at"), F.struct("created_at", "event_id"))
+    counted = events.groupBy("tenant_id", "expense_id").agg(F.count(F.lit(1)).alias("event_count"), last.alias("_last"))
+    return counted.select(
+        "tenant_id", "expense_id", "event_count", F.col("_last.event_type").alias("last_event_type"),
+        F.col("_last.created_at").alias("last_event_at"),
+        F.ceil(F.col("event_count") / F.lit(page_size)).cast("bigint").alias("history_pages"),
+    )
+
+
+def audit_with_history(audit: DataFrame, events: DataFrame, page_size: int = HISTORY_PAGE) -> DataFrame:
+    """The audit table with what happened to each expense. The grain stays one row per expense, whatever the number of
+    events; the events themselves are the pages of ``event_history``, by (tenant_id, expense_id, page)."""
+    return audit.join(history_summary(events, page_size), ["tenant_id", "expense_id"], "left")
 
 
 def kpi_tenant_daily(audit: DataFrame, ocr: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuentaclara.functions.text import stripped
 from cuentaclara.operators.skew import top_per_key
 
 MAX_CITATIONS = 10
@@ -13,6 +14,40 @@ MAX_CITATIONS = 10
 LINK = r"\[([^\]]*)\]\(\s*/expenses/([A-Za-z0-9_\-]+)\s*\)"
 
 
+#: Fields of a tool result row.
+ROW_FIELDS = ("expense_id", "vendor", "amount", "currency", "date", "category", "link", "_source", "source")
+_ROWS = "array<struct<" + ",".join(f"`{name}`:string" for name in ROW_FIELDS) + ">>"
+_BLOCKS = "array<struct<toolResult:struct<content:array<struct<json:string>>>>>"
+
+
+def tool_rows_from_messages(messages: DataFrame) -> DataFrame:
+    """Tool result rows as they stand in a conversation, one row each, in the order in which they came.
+
+    ``messages`` has conv_id, turn, role and ``content``, the JSON text of the message's blocks. Only messages of the
+    user role carry results. A result is a list of rows, or an object with ``rows``; an object with an error, an
+    aggregate without rows, and items that are no objects give none.
+    """
+    spoken = messages.where("role = 'user'").select(
+        "conv_id", "turn", F.posexplode(F.from_json("content", _BLOCKS)).alias("block_no", "block"))
+    results = spoken.select(
+        "conv_id", "turn", "block_no", F.posexplode("block.toolResult.content").alias("item_no", "item"))
+    payload = F.ltrim(F.col("item.json"))
+    failed = F.coalesce(F.get_json_object(payload, "$.error"), F.lit("")).isin("", "false", "null", "0", "[]", "{}")
+    listed = F.when(payload.startswith("["), payload).when(failed, F.get_json_object(payload, "$.rows"))
+    rows = results.select(
+        "conv_id", "turn", "block_no", "item_no", F.posexplode(F.from_json(listed, _ROWS)).alias("row_no", "row"))
+    place = F.struct("turn", "block_no", "item_no", "row_no")
+    return rows.where("row IS NOT NULL").select("conv_id", place.alias("pos"), "row.*")
+
+
+def usable(tool_rows: DataFrame) -> DataFrame:
+    """Rows that name an expense and come from a call that did not fail."""
+    rows = tool_rows.where(F.coalesce(F.col("expense_id"), F.lit("")) != "")
+    if "error" in tool_rows.columns:
+        rows = rows.where(F.coalesce(F.col("error"), F.lit("")) == "")
+    return rows
+
+
 def normalize(tool_rows: DataFrame) -> DataFrame:
     """Tool result rows in citation shape. Rows without an id or from a failed call are dropped.
 
@@ -24,10 +59,7 @@ def normalize(tool_rows: DataFrame) -> DataFrame:
     def optional(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in have else F.lit(None).cast("string")
 
-    rows = tool_rows.where(F.coalesce(F.col("expense_id"), F.lit("")) != "")
-    if "error" in have:
-        rows = rows.where(F.coalesce(F.col("error"), F.lit("")) == "")
-    return rows.select(
+    return usable(tool_rows).select(
         "conv_id", "pos", "expense_id", "vendor",
         F.col("amount").try_cast("double").alias("amount"),
         "currency", "date", "category",
@@ -69,16 +101,14 @@ def cited_expenses(answers: DataFrame, tool_rows: DataFrame, limit: int = MAX_CI
 
 
 def strip_ungrounded(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Answers without the links whose expense no tool returned, and the ids removed.
+    """Answers without the links whose expense no successful tool call returned, and the ids removed.
 
     Links are checked by a join on (conv_id, expense_id), so the allowed ids of a conversation
     are never gathered into one list; what returns to a row is bounded by its own text.
     """
     rows = answers.select("conv_id", "turn", "text", cited_ids(F.col("text")).alias("_ids"))
     links = rows.select("conv_id", "turn", F.explode("_ids").alias("expense_id"))
-    permitted = allowed.where(F.coalesce(F.col("expense_id"), F.lit("")) != "").select(
-        "conv_id", "expense_id"
-    )
+    permitted = usable(allowed).select("conv_id", "expense_id")
     invented = (
         links.join(permitted, ["conv_id", "expense_id"], "left_anti")
         .groupBy("conv_id", "turn")
@@ -99,8 +129,7 @@ def strip_ungrounded(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     )
     tidy = F.regexp_replace(glued, r"\n{3,}", "\n\n")
     # Trim every kind of white space, not only blanks.
-    tidy = F.regexp_replace(tidy, r"(?U)^\s+|\s+$", "")
-    return joined.select("conv_id", "turn", tidy.alias("text"), "removed_ids")
+    return joined.select("conv_id", "turn", stripped(tidy).alias("text"), "removed_ids")
 
 
 def tool_call_outcome(rows: Column, error: Column, invalid: Column) -> Column:

@@ -589,7 +589,7 @@ def current_step(step_events: DataFrame) -> DataFrame:
 
 
 def chat_history(turns: DataFrame, max_turns: int = 10) -> DataFrame:
-    """The first ``max_turns`` turns per session as alternating user and assistant messages."""
+    """The first ``max_turns`` turns per session as user and assistant messages; an unanswered turn is a user message alone."""
     kept = skew.top_per_key(turns, ["session_id", "tenant_id"], [F.col("turn")], max_turns, "_rn")
     def said(role: str, column: str) -> Column:
         return F.struct(F.lit(role).alias("role"), F.col(column).alias("content"))
@@ -598,7 +598,7 @@ def chat_history(turns: DataFrame, max_turns: int = 10) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("turn", pair.alias("pair")))).alias("_turns")
     )
     return gathered.select(
-        "session_id", "tenant_id", F.flatten(F.transform("_turns", lambda t: t["pair"])).alias("messages")
+        "session_id", "tenant_id", F.filter(F.flatten(F.transform("_turns", lambda t: t["pair"])), lambda m: m["content"].isNotNull()).alias("messages")
     )
 
 

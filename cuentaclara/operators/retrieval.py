@@ -25,8 +25,8 @@ RRF_K = 60
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-#: A query batch up to this many rows is small enough to send to every task.
-MAX_BROADCAST_QUERIES = 10_000
+#: Parts into which the chunks of a tenant are cut for joins; queries are repeated for each.
+SALTS = 32
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -95,9 +95,11 @@ def embed(chunks: DataFrame, embedder: Embedder, *, batch_size: int = 16, text:
 
 def complete_embeddings(chunks: DataFrame, log: DataFrame, embedder: Embedder) -> DataFrame:
     """Chunks with a vector each: stored ones as they are, the others embedded on the fly."""
-    joined = with_latest_embedding(chunks, log).drop("embedded_at")
-    stored = joined.where(F.col("embedding").isNotNull())
-    fresh = embed(joined.where(F.col("embedding").isNull()).drop("embedding"), embedder)
+    newest = latest_embeddings(log.select("chunk_id", "tenant_id", "embedding", "updated_at"))
+    have = newest.where(F.size("embedding") > 0)
+    stored = chunks.join(have.drop("updated_at"), ["chunk_id", "tenant_id"])
+    # An empty vector is none; its chunk is embedded like one that was never written.
+    fresh = embed(chunks.join(have.select("chunk_id", "tenant_id"), ["chunk_id", "tenant_id"], "left_anti"), embedder)
     return stored.unionByName(fresh)
 
 
@@ -130,34 +132,36 @@ def changed_chunks(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
 # --- search -------------------------------------------------------------------------------
 
 
-def _is_small(queries: DataFrame) -> bool:
-    """Counts at most MAX_BROADCAST_QUERIES + 1 rows of the batch."""
-    return queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+def _parts(chunks: DataFrame) -> DataFrame:
+    """Chunks with the part of their tenant they belong to, so that a large tenant is many tasks."""
+    return chunks.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast what was derived from a batch of checked size, else leave the join to Spark."""
-    return F.broadcast(df) if small else df
+def _for_parts(queries: DataFrame) -> DataFrame:
+    """Queries once per part. Whether they are sent to every task is left to their measured bytes."""
+    return queries.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
 
-def semantic_topk(
-    embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, small_batch: bool | None = None
-) -> DataFrame:
+def semantic_topk(embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Exact cosine top ``k`` per query within the query's tenant.
 
     ``embedded`` has chunk_id, tenant_id, embedding (+ payload); ``queries`` has query_id,
     tenant_id, query_vec. Chunks without a vector are skipped.
     """
-    small = _is_small(queries) if small_batch is None else small_batch
     side = queries.select(
         "query_id", "tenant_id", "query_vec", vectors.norm(F.col("query_vec")).alias("_query_norm")
     )
-    scored = embedded.where(F.size("embedding") > 0).join(_hint(side, small), "tenant_id").withColumn(
-        "_cosine",
-        vectors.cosine(F.col("query_vec"), F.col("embedding"), norm_a=F.col("_query_norm")),
-    ).drop("query_vec", "_query_norm", "embedding")
+    # Lengths are taken once per vector, and only ids go through the ranking; the payload joins the k that remain.
+    slim = embedded.where(F.size("embedding") > 0).select(
+        "chunk_id", "tenant_id", "embedding", vectors.norm(F.col("embedding")).alias("_chunk_norm"))
+    scored = _parts(slim).join(_for_parts(side), ["tenant_id", "_part"]).select(
+        "query_id", "tenant_id", "chunk_id",
+        vectors.cosine(F.col("query_vec"), F.col("embedding"), F.col("_query_norm"), F.col("_chunk_norm")).alias("_cosine"),
+    )
     best = top_per_key(scored, ["query_id"], [F.col("_cosine").desc(), F.col("chunk_id")], k, "rank")
-    return best.withColumn("score", F.round("_cosine", 4)).drop("_cosine")
+    payload = [c for c in embedded.columns if c != "embedding"]
+    hits = best.withColumn("score", F.round("_cosine", 4)).drop("_cosine")
+    return hits if payload == ["chunk_id", "tenant_id"] else hits.join(embedded.select(*payload), ["chunk_id", "tenant_id"])
 
 
 def above_floor(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -174,13 +178,12 @@ def citable(hits: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased alphanumeric runs."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    """Lower-cased runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def lexical_topk(
     chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, k1: float = BM25_K1, b: float = BM25_B,
-    small_batch: bool | None = None,
 ) -> DataFrame:
     """BM25 top ``k`` per query within its tenant. ``queries`` has query_id, tenant_id, query_text.
 
@@ -188,7 +191,6 @@ def lexical_topk(
     term counts are taken inside each row, and what leaves a task is one row per (query, chunk)
     that share a term.
     """
-    small = _is_small(queries) if small_batch is None else small_batch
     distinct_terms = F.array_distinct(tokens(F.col("query_text")))
     terms = queries.select("query_id", "tenant_id", F.explode(distinct_terms).alias("term"))
     vocabulary = terms.groupBy("tenant_id").agg(F.collect_set("term").alias("_vocabulary"))
@@ -199,8 +201,8 @@ def lexical_topk(
         lambda t: F.struct(t.alias("term"), F.size(F.filter("_matched", lambda m: m == t)).alias("tf")),
     )
     docs = (
-        chunks.select("chunk_id", "tenant_id", tokens(F.col("chunk_text")).alias("_tokens"))
-        .join(_hint(vocabulary, small), "tenant_id")
+        _parts(chunks.select("chunk_id", "tenant_id", tokens(F.col("chunk_text")).alias("_tokens")))
+        .join(_for_parts(vocabulary), ["tenant_id", "_part"])
         .select("chunk_id", "tenant_id", F.size("_tokens").alias("_length"), matched.alias("_matched"))
         .select("chunk_id", "tenant_id", "_length", counted.alias("_hits"))
     )
@@ -226,7 +228,7 @@ def lexical_topk(
     scored = (
         # The outer form keeps Spark from deriving a size filter that repeats the matching.
         docs.select("chunk_id", "tenant_id", "_length", F.inline_outer("_hits"))
-        .join(_hint(asked, small), ["tenant_id", "term"])
+        .join(asked, ["tenant_id", "term"])
         .groupBy("query_id", "tenant_id", "chunk_id")
         .agg(F.round(F.sum(weight), 6).alias("lexical_score"))
     )
@@ -248,18 +250,14 @@ def reciprocal_rank_fusion(rankings: Sequence[DataFrame], k: int = DEFAULT_K, da
 
 
 def hybrid_topk(
-    embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, depth: int | None = None
+    chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, depth: int | None = None
 ) -> DataFrame:
-    """Dense and lexical rankings of the same chunks, fused. ``queries`` carries both
-    query_vec and query_text; ``depth`` is how far down each ranking is fused."""
+    """Dense and lexical rankings, fused. ``queries`` carries both query_vec and query_text; ``depth`` is how far down
+    each ranking is fused. The lexical side reads the chunks' texts, the dense side the newest embeddings; neither
+    needs the other's table."""
     depth = depth or k
-    small = _is_small(queries)
-    dense = semantic_topk(
-        embedded.select("chunk_id", "tenant_id", "embedding"), queries, depth, small_batch=small
-    )
-    lexical = lexical_topk(
-        embedded.select("chunk_id", "tenant_id", "chunk_text"), queries, depth, small_batch=small
-    )
+    dense = semantic_topk(embeddings.select("chunk_id", "tenant_id", "embedding"), queries, depth)
+    lexical = lexical_topk(chunks.select("chunk_id", "tenant_id", "chunk_text"), queries, depth)
     return reciprocal_rank_fusion([dense, lexical], k)
 
 
@@ -267,54 +265,57 @@ def hybrid_topk(
 
 
 def approximate_topk(
-    embedded: DataFrame,
-    queries: DataFrame,
-    k: int = DEFAULT_K,
-    *,
-    bucket_length: float = 1.0,
-    tables: int = 8,
+    embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, planes: int = 10, tables: int = 12, flips: int = 2,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate neighbours for corpora too large to score in full.
 
-    Random projections of unit vectors give bucket ids; chunks and queries that share a bucket
-    in any table (and the tenant) become candidates, which are then scored exactly. Recall grows
-    with ``tables`` and ``bucket_length``.
+    Each table cuts the space by ``planes`` random hyperplanes; the signs are one composite bucket. A query looks into its own
+    bucket and those that differ in up to ``flips`` of the planes. Chunks that share a bucket and the tenant are candidates, scored
+    exactly. Recall grows with ``tables`` and ``flips``, the share of candidates falls with ``planes``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, column: str) -> DataFrame:
-        length = vectors.norm(F.col(column))
-        scaled = F.transform(column, lambda x: x.cast("double") / F.nullif(length, F.lit(0.0)))
-        return df.where(length > 0).withColumn("_unit", array_to_vector(scaled))
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    small = _is_small(queries)
-    left = unit(embedded, "embedding")
-    model = lsh.fit(left)
-
-    def signatures(df: DataFrame, keep: list[str]) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        buckets = F.transform("_hashes", lambda h: h)
-        hashed = model.transform(df).select(*keep, F.posexplode(buckets).alias("_table", "_h"))
-        return hashed.withColumn("_bucket", vector_to_array("_h")[0].cast("bigint")).drop("_h")
-
-    chunk_side = signatures(left, ["chunk_id", "tenant_id"])
-    query_side = signatures(unit(queries, "query_vec"), ["query_id", "tenant_id"])
-    candidates = (
-        chunk_side.join(_hint(query_side, small), ["tenant_id", "_table", "_bucket"])
-        .select("query_id", "tenant_id", "chunk_id")
-        .distinct()
-    )
-    scored = (
-        candidates.join(embedded, ["chunk_id", "tenant_id"])
-        .join(_hint(queries.select("query_id", "tenant_id", "query_vec"), small), ["query_id", "tenant_id"])
-        .withColumn("_cosine", vectors.cosine(F.col("query_vec"), F.col("embedding")))
-        .drop("query_vec", "embedding")
-    )
+    candidates = approximate_candidates(embedded, queries, planes=planes, tables=tables, flips=flips, seed=seed)
+    scored = candidates.join(embedded.where(F.size("embedding") > 0), ["chunk_id", "tenant_id"]).join(
+        queries.select("query_id", "tenant_id", "query_vec"), ["query_id", "tenant_id"]
+    ).withColumn("_cosine", vectors.cosine(F.col("query_vec"), F.col("embedding"))).drop("query_vec", "embedding")
     best = top_per_key(scored, ["query_id"], [F.col("_cosine").desc(), F.col("chunk_id")], k, "rank")
     return best.withColumn("score", F.round("_cosine", 4)).drop("_cosine")
+
+
+def approximate_candidates(
+    embedded: DataFrame, queries: DataFrame, *, planes: int = 10, tables: int = 12, flips: int = 2, seed: int = 7,
+) -> DataFrame:
+    """Distinct (query_id, tenant_id, chunk_id) that share a bucket."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    masks = [sum(1 << i for i in c) for n in range(flips + 1) for c in itertools.combinations(range(planes), n)]
+
+    def buckets(column: str, ids: list[str]):
+        def run(batches: Iterator) -> Iterator:
+            for batch in batches:
+                vectors_, out = batch.column(column).to_pylist(), [[] for _ in range(len(batch))]
+                for width in {len(v) for v in vectors_ if v}:
+                    rows = [i for i, v in enumerate(vectors_) if v and len(v) == width]
+                    x = np.array([[float("nan") if y is None else y for y in vectors_[i]] for i in rows], dtype="float64")
+                    normals = np.random.default_rng(seed).normal(size=(width, tables * planes))
+                    signs = (x @ normals > 0).reshape(len(rows), tables, planes)
+                    codes = (signs << np.arange(planes)).sum(axis=2) + (np.arange(tables) << planes)
+                    for i, own, fine in zip(rows, codes, np.isfinite(x).all(axis=1), strict=True):
+                        out[i] = own.tolist() if fine else []
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in ids] + [pa.array(out, pa.list_(pa.int64()))], names=[*ids, "_codes"])
+        return run
+
+    chunk_ids, query_ids = ["chunk_id", "tenant_id"], ["query_id", "tenant_id"]
+    kinds = dict(embedded.dtypes) | dict(queries.dtypes)
+    ddl = {tuple(ids): ", ".join(f"{c} {kinds[c]}" for c in ids) + ", _codes array<bigint>" for ids in (chunk_ids, query_ids)}
+    left = embedded.select(*chunk_ids, "embedding").mapInArrow(buckets("embedding", chunk_ids), ddl[tuple(chunk_ids)])
+    right = queries.select(*query_ids, "query_vec").mapInArrow(buckets("query_vec", query_ids), ddl[tuple(query_ids)])
+    left = left.select(*chunk_ids, F.explode("_codes").alias("_bucket"))
+    flipped = F.explode(F.array(*[F.lit(m) for m in masks]))
+    right = right.select(*query_ids, F.explode("_codes").alias("_own")).select(
+        *query_ids, "_own", flipped.alias("_mask")).select(*query_ids, F.col("_own").bitwiseXOR(F.col("_mask")).alias("_bucket"))
+    return left.join(right, ["tenant_id", "_bucket"]).select("query_id", "tenant_id", "chunk_id").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -59,7 +60,10 @@ def parse_request(request: Mapping[str, Any], tenant: str) -> SearchRequest:
             predicates.append(compare(F.col("final_amount"), F.lit(amount)))
     for bound, compare in (("from", Column.__ge__), ("to", Column.__le__)):
         if request.get(f"date_{bound}"):
-            day = F.lit(str(request[f"date_{bound}"])).try_cast("date")
+            try:
+                day = F.lit(date.fromisoformat(str(request[f"date_{bound}"]).strip()[:10]))
+            except ValueError as exc:
+                raise InvalidSearch(f"invalid date_{bound}") from exc
             predicates.append(compare(F.col("final_date"), day))
     if request.get("currency"):
         currency = _allowed(str(request["currency"]).strip().upper(), CURRENCIES, "currency")

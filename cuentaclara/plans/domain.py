@@ -58,12 +58,6 @@ class Domain:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Give heavy per-row work all cores when the input is one small file; larger inputs
-        are read in enough partitions already and pass through."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < 2 else df
-
     # --- change feed of expenses, from events ---------------------------------------------
 
     @cached_property
@@ -77,7 +71,7 @@ class Domain:
     def expense_messages(self) -> DataFrame:
         """Broker messages; some are tombstones (k = 9), some are cut off (k = 7)."""
         iso = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
-        doc = self.spread(self.events_k).selectExpr(
+        doc = self.events_k.selectExpr(
             "event_id", "ts", "user_id", "k",
             f"""to_json(named_struct(
                 'expense_id', 'exp_' || user_id || '_' || (k % 20),
@@ -127,7 +121,7 @@ class Domain:
     def receipt_messages(self) -> DataFrame:
         """Half of the producers still send ``mime_type`` instead of ``content_type``."""
         jpeg = F.col("content_type") == "image/jpeg"
-        shaped = self.spread(self.receipts).withColumn("mime_type", F.when(jpeg, F.col("content_type"))).withColumn(
+        shaped = self.receipts.withColumn("mime_type", F.when(jpeg, F.col("content_type"))).withColumn(
             "content_type", F.when(~jpeg, F.col("content_type"))
         )
         return self.as_messages(shaped, "receipts", "'c'", "unix_millis(uploaded_at)", "size_bytes")
@@ -152,12 +146,12 @@ class Domain:
     @cached_property
     def ocr_messages(self) -> DataFrame:
         return self.as_messages(
-            self.spread(self.ocr.drop("o_orderkey")), "ocr_extractions", "'u'", "unix_millis(extracted_at)", "0L"
+            self.ocr.drop("o_orderkey"), "ocr_extractions", "'u'", "unix_millis(extracted_at)", "0L"
         )
 
     @cached_property
     def event_messages(self) -> DataFrame:
-        rows = self.spread(self.timeline.drop("actor_type", "actor_id", "trace_id", "user_id"))
+        rows = self.timeline.drop("actor_type", "actor_id", "trace_id", "user_id")
         # The actor is an object on the wire.
         text = F.to_json(F.struct(
             *[F.col(c) for c in rows.columns if c not in ("n", "k", "actor")], F.lit("@@").alias("actor"),
@@ -256,7 +250,7 @@ class Domain:
     @cached_property
     def hitl_changes(self) -> DataFrame:
         """Change log of review tasks, in the shape of the silver projection."""
-        return self.spread(self.source("lineitem")).selectExpr(
+        return self.source("lineitem").selectExpr(
             "'hitl_' || l_orderkey || '_' || l_linenumber AS task_id",
             "'t_' || (l_orderkey % 5) AS tenant_id",
             "'exp_' || lpad(cast(l_orderkey AS string), 8, '0') AS expense_id",
@@ -390,7 +384,7 @@ class Domain:
         said = self.source("conversations")
         user = said.where("role = 'user'").selectExpr("conv_id", "turn", "text AS user_message")
         answer = said.where("role = 'assistant'").selectExpr("conv_id", "turn - 1 AS turn", "text AS assistant_message")
-        return user.join(answer, ["conv_id", "turn"]).selectExpr(
+        return user.join(answer, ["conv_id", "turn"], "left").selectExpr(
             "'sess_' || conv_id AS session_id", "turn", "'t_' || (conv_id % 5) AS tenant_id", "'u_' || (conv_id % 50) AS user_id",
             "user_message", "assistant_message",
             "TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(conv_id * 37 AS int), turn) AS created_at",
@@ -431,11 +425,22 @@ class Domain:
             "CASE WHEN turn = 7 THEN 'timeout' END AS error",
         )
 
+    @cached_property
+    def tool_messages(self) -> DataFrame:
+        """Tool results as messages: a list, an object with rows, a failed call that still names a row, an aggregate."""
+        row = """'{"expense_id":"exp_' || lpad(cast(conv_id + @n AS string), 8, '0') || '","vendor":"vendor ' || (conv_id % 40) || '","amount":' || turn || ',"_source":"sql"}'"""
+        return self.source("conversations").where("role = 'assistant'").selectExpr(
+            "conv_id", "turn", "CASE WHEN turn % 8 = 5 THEN 'assistant' ELSE 'user' END AS role",
+            f"""'[{{"text":"x"}},{{"toolResult":{{"content":[{{"json":' ||
+                CASE turn % 4 WHEN 0 THEN '[' || {row.replace("@n", "0")} || ',' || {row.replace("@n", "1")} || ']' WHEN 1 THEN '{{"rows":[' || {row.replace("@n", "2")} || ']}}'
+                WHEN 2 THEN '{{"error":"timeout","rows":[' || {row.replace("@n", "3")} || ']}}' ELSE '{{"total":' || turn || '}}' END || '}}]}}}}]' AS content""",
+        )
+
     # --- retrieval, from documents and embeddings -----------------------------------------
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.spread(self.source("documents")).selectExpr(
+        return self.source("documents").selectExpr(
             "'chk_' || doc_id AS chunk_id", "'t_' || (doc_id % 5) AS tenant_id",
             "'exp_' || lpad(cast(doc_id AS string), 8, '0') AS expense_id", "text AS chunk_text",
             "TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int)) AS approved_at",
@@ -486,8 +491,8 @@ class Domain:
             {cell('EXPENSE_ROW', "'row ' || i", '0')}, {cell('EXPENSE_ROW', "'again'", '0')}, {cell('COLOR', "'c' || i", '70')})))"""
         empty_line = "array(named_struct('LineItemExpenseFields', filter(array({}), x -> false)))".format(cell("ITEM", "'x'", "1"))
         return (
-            self.spread(self.expenses.select(
-                "o_orderkey", "expense_id", "tenant_id", "user_id", "amount", "currency", "date", "vendor"))
+            self.expenses.select(
+                "o_orderkey", "expense_id", "tenant_id", "user_id", "amount", "currency", "date", "vendor")
             .selectExpr(
                 "expense_id", "tenant_id", "o_orderkey",
                 f"""to_json(named_struct('ExpenseDocuments', array(named_struct(
@@ -509,7 +514,7 @@ class Domain:
         total = block.format("QUERY_RESULT", "r0", "cast(amount AS string)", "95", "NULL")
         day = block.format("QUERY_RESULT", "r1", "cast(date AS string)", "40 + o_orderkey % 60", "NULL")
         vendor = block.format("QUERY_RESULT", "r2", "upper(vendor)", "70", "NULL")
-        orders = self.spread(self.expenses.select("o_orderkey", "expense_id", "tenant_id", "amount", "date", "vendor"))
+        orders = self.expenses.select("o_orderkey", "expense_id", "tenant_id", "amount", "date", "vendor")
         return orders.selectExpr(
             "expense_id", "tenant_id", "o_orderkey",
             f"""to_json(named_struct('Blocks', concat(array({asked}), array({total}, {day}),

@@ -148,8 +148,8 @@ TABLES: dict[str, str] = {
         SELECT 'sess_' || u.conv_id AS session_id, u.turn, 't_' || (u.conv_id % 5) AS tenant_id, 'u_' || (u.conv_id % 50) AS user_id,
                u.text AS user_message, a.text AS assistant_message,
                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(u.conv_id * 37) + to_seconds(u.turn) AS created_at
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn
-        WHERE u.role = 'user' AND a.role = 'assistant'""",
+        FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn AND a.role = 'assistant'
+        WHERE u.role = 'user'""",
     "answers": f"""
         SELECT conv_id, turn, text || chr(10) || chr(10) || chr(10) || chr(10) || '[ver](/expenses/' || {_LPAD8.format('conv_id')} || ')'
                || CASE WHEN turn >= 3 THEN ' [otro]( /expenses/exp_zz' || turn || ' )' ELSE '' END
@@ -184,10 +184,10 @@ TABLES: dict[str, str] = {
         SELECT query_id, tenant_id, chunk_id, c, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS rank
         FROM (SELECT q.query_id, q.tenant_id, e.chunk_id, list_cosine_similarity(q.query_vec, CAST(e.embedding AS DOUBLE[])) AS c
               FROM latest_emb e JOIN questions q USING (tenant_id)) s""",
-    "doc_tokens": """
-        SELECT chunk_id, tenant_id, list_transform(regexp_extract_all(chunk_text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS toks FROM chunks""",
-    "query_terms": """
-        SELECT query_id, tenant_id, unnest(list_distinct(list_transform(regexp_extract_all(query_text, '[A-Za-z0-9]+'), lambda x: lower(x)))) AS term FROM questions""",
+    "doc_tokens": r"""
+        SELECT chunk_id, tenant_id, regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+') AS toks FROM chunks""",
+    "query_terms": r"""
+        SELECT query_id, tenant_id, unnest(list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}]+'))) AS term FROM questions""",
     "bm25": """
         WITH n AS (SELECT tenant_id, count(*) AS docs, avg(len(toks)) AS avg_len FROM doc_tokens GROUP BY 1),
         tf AS (SELECT chunk_id, tenant_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, tenant_id, len(toks) AS dl, unnest(toks) AS term FROM doc_tokens) x

@@ -340,14 +340,14 @@ def _(d):
 
 
 @query("expense_audit_with_history", """
-    SELECT a.tenant_id, a.expense_id, CAST(a.final_amount AS DOUBLE) AS final_amount, h.event_types, h.last_event_at
-    FROM audit a LEFT JOIN (SELECT tenant_id, expense_id, string_agg(event_type, ',' ORDER BY created_at, event_id) AS event_types,
+    SELECT a.tenant_id, a.expense_id, CAST(a.final_amount AS DOUBLE) AS final_amount, h.n AS event_count, h.last_event_type, h.last_event_at,
+           (h.n + 999) // 1000 AS history_pages
+    FROM audit a LEFT JOIN (SELECT tenant_id, expense_id, count(*) AS n, arg_max(event_type, (created_at, event_id)) AS last_event_type,
                                    max(created_at) AS last_event_at FROM timeline GROUP BY tenant_id, expense_id) h
     USING (tenant_id, expense_id)""")
 def _(d):
-    joined = gold.audit_with_history(audit_table(d), gold.event_history(d.timeline))
-    kinds = F.transform("event_history", lambda e: e["event_type"])
-    return joined.select("tenant_id", "expense_id", "final_amount", kinds.alias("event_types"), "last_event_at")
+    return gold.audit_with_history(audit_table(d), d.timeline).select(
+        "tenant_id", "expense_id", "final_amount", "event_count", "last_event_type", "last_event_at", "history_pages")
 
 
 @query("kpi_tenant_daily", """
@@ -964,7 +964,8 @@ def _(d):
 
 
 @query("chat_history", """
-    SELECT session_id, tenant_id, count(*) * 2 AS messages, string_agg(user_message || '|' || assistant_message, '|' ORDER BY turn) AS body
+    SELECT session_id, tenant_id, count(user_message) + count(assistant_message) AS messages,
+           string_agg(user_message || coalesce('|' || assistant_message, ''), '|' ORDER BY turn) AS body
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id, tenant_id ORDER BY turn) AS rn FROM chat_turns) t WHERE rn <= 2 GROUP BY ALL""")
 def _(d):
     said = F.transform("messages", lambda m: m["content"])
@@ -1078,9 +1079,10 @@ def _(d):
 
 
 @query("date_normalize", """
-    SELECT expense_id, raw, CASE kind WHEN 5 THEN NULL WHEN 2 THEN CASE WHEN day(date) <= 12 THEN strftime(make_date(year(date), day(date), month(date)), '%Y-%m-%d')
+    SELECT expense_id, CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || chr(9) || raw || chr(10) ELSE raw END AS raw,
+           CASE kind WHEN 5 THEN NULL WHEN 2 THEN CASE WHEN day(date) <= 12 THEN strftime(make_date(year(date), day(date), month(date)), '%Y-%m-%d')
              ELSE strftime(date, '%Y-%m-%d') END ELSE strftime(date, '%Y-%m-%d') END AS day FROM (
-      SELECT expense_id, date, o_orderkey % 6 AS kind, CASE o_orderkey % 6 WHEN 0 THEN strftime(date, '%Y-%m-%d') WHEN 1 THEN strftime(date, '%d/%m/%Y')
+      SELECT expense_id, date, o_orderkey, o_orderkey % 6 AS kind, CASE o_orderkey % 6 WHEN 0 THEN strftime(date, '%Y-%m-%d') WHEN 1 THEN strftime(date, '%d/%m/%Y')
              WHEN 2 THEN strftime(date, '%m/%d/%Y') WHEN 3 THEN strftime(date, '%d-%m-%Y') WHEN 4 THEN strftime(date, '%Y/%m/%d') ELSE 'on ' || strftime(date, '%Y-%m-%d') END AS raw
       FROM expenses) t""")
 def _(d):
@@ -1088,9 +1090,19 @@ def _(d):
     raw = F.concat(F.lit("on "), F.date_format("date", "yyyy-MM-dd"))
     for i, pattern in enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")):
         raw = F.when(kind == i, F.date_format("date", pattern)).otherwise(raw)
+    raw = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("\n\t"), raw, F.lit("\n"))).otherwise(raw)
     return d.expenses.select("expense_id", raw.alias("raw")).withColumn("day", text.date_value(F.col("raw")))
 
 
+@query("amount_numbers", """
+    SELECT o_orderkey, o_totalprice * 1e6 AS amount, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS exact_amount FROM orders""")
+def _(d):
+    # Numbers stay what they are, also where their text form has an exponent.
+    return d.source("orders").select(
+        "o_orderkey", text.amount_value(F.col("o_totalprice") * F.lit(1e6)).alias("amount"),
+        text.amount_value(F.col("o_totalprice").cast("decimal(18,2)")).alias("exact_amount"))
+
+
 def compared(d: Domain) -> DataFrame:
     reported = d.expenses.select("expense_id", "tenant_id", "amount", "vendor", "date", "currency")
     return audit.compare_fields(reported, d.ocr.drop("tenant_id", "user_id"))
@@ -1356,7 +1368,7 @@ def _(d):
 
 @query("hybrid_rrf")
 def _(d):
-    return retrieval.hybrid_topk(embedded_chunks(d), d.questions, 10, depth=50).select("query_id", "tenant_id", "chunk_id", "rrf_score", "rank")
+    return retrieval.hybrid_topk(d.chunks, retrieval.latest_embeddings(d.embedding_log), d.questions, 10, depth=50).select("query_id", "tenant_id", "chunk_id", "rrf_score", "rank")
 
 
 ORACLES["hybrid_rrf"] = oracle.complete("""
@@ -1366,10 +1378,19 @@ ORACLES["hybrid_rrf"] = oracle.complete("""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fused) t WHERE rank <= 10""")
 
 
-@query("semantic_approximate")
+@query("semantic_approximate", "SELECT count(*) AS queries, true AS recall_above_bound, true AS candidates_below_bound FROM questions")
 def _(d):
-    hits = retrieval.approximate_topk(retrieval.latest_embeddings(d.embedding_log), d.questions)
-    return hits.select("query_id", "tenant_id", "chunk_id", "rank", "score")
+    # Against the exact search: at least 70 of 100 neighbours found while at most 70 of 100 pairs are scored.
+    newest = retrieval.latest_embeddings(d.embedding_log)
+    exact = retrieval.semantic_topk(newest.select("chunk_id", "tenant_id", "embedding"), d.questions).select("query_id", "chunk_id")
+    found = retrieval.approximate_topk(newest, d.questions).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "chunk_id"], "left").agg((F.count("hit") / F.count(F.lit(1)) >= 0.7).alias("recall_above_bound"))
+    pairs = newest.join(d.questions.select("tenant_id", "query_id"), "tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    tried = retrieval.approximate_candidates(newest, d.questions).agg(F.count(F.lit(1)).alias("m"))
+    asked = d.questions.agg(ops.rows().alias("queries"))
+    one = [df.withColumn("one", F.lit(1)) for df in (asked, recall, pairs, tried)]
+    return one[0].join(one[1], "one").join(one[2], "one").join(one[3], "one").select(
+        "queries", "recall_above_bound", (F.col("m") <= 0.7 * F.col("n")).alias("candidates_below_bound"))
 
 
 @query("embed_on_the_fly", """
@@ -1436,7 +1457,7 @@ def _(d):
 ORACLES["strip_ungrounded"] = oracle.complete(rf"""
     WITH {_LINKS}, bad AS (
       SELECT conv_id, turn, list_sort(list(DISTINCT expense_id)) AS ids FROM links l
-      WHERE NOT EXISTS (SELECT 1 FROM tool_rows r WHERE r.conv_id = l.conv_id AND r.expense_id = l.expense_id) GROUP BY ALL),
+      WHERE NOT EXISTS (SELECT 1 FROM tool_rows r WHERE r.conv_id = l.conv_id AND r.expense_id = l.expense_id AND r.error IS NULL) GROUP BY ALL),
     cut AS (SELECT conv_id, turn, ids, CASE WHEN ids IS NULL THEN text ELSE list_reduce(list_prepend(text, ids),
               lambda t, i: replace(replace(t, '[ver](/expenses/' || i || ')', ''), '[otro]( /expenses/' || i || ' )', '')) END AS t
             FROM answers LEFT JOIN bad USING (conv_id, turn))
@@ -1444,6 +1465,16 @@ ORACLES["strip_ungrounded"] = oracle.complete(rf"""
            regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM cut""")
 
 
+@query("tool_rows", """
+    SELECT conv_id, turn, i AS row_no, 'exp_' || lpad(CAST(conv_id + CASE WHEN turn % 4 = 1 THEN 2 ELSE i END AS VARCHAR), 8, '0') AS expense_id,
+           'vendor ' || (conv_id % 40) AS vendor, CAST(turn AS DOUBLE) AS amount, 'sql' AS source
+    FROM (SELECT conv_id, turn, unnest(CASE turn % 4 WHEN 0 THEN [0, 1] WHEN 1 THEN [0] ELSE CAST([] AS BIGINT[]) END) AS i
+          FROM conversations WHERE role = 'assistant' AND turn % 8 <> 5) t""")
+def _(d):
+    rows = grounding.normalize(grounding.tool_rows_from_messages(d.tool_messages))
+    return rows.select("conv_id", "pos.turn", F.col("pos.row_no").cast("bigint").alias("row_no"), "expense_id", "vendor", "amount", "source")
+
+
 @query("tool_call_outcomes", """
     SELECT tool, outcome, count(*) AS calls, round(avg(latency_ms), 2) AS avg_latency_ms, CAST(sum(row_count) AS BIGINT) AS rows_returned FROM (
       SELECT CASE WHEN user_id % 2 = 0 THEN 'search_structured' ELSE 'search_semantic' END AS tool, k % 4 AS row_count, value AS latency_ms,

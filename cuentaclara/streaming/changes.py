@@ -1,9 +1,10 @@
 """Streaming SCD1 over plain parquet.
 
-Each micro-batch is folded to one row per key and written to ``<table>/changes/batch=<id>``.
-A retried batch overwrites its own folder, so replays are harmless. Readers fold the newest
-snapshot and the later batches by sequence; tombstones are part of the state, so the order in
-which batches arrive does not matter. ``compact`` writes the next snapshot.
+Each micro-batch is folded to one row per key and written to ``<table>/changes/run=<stream>/batch=<n>``. The stream's id
+lives in its checkpoint: a retried batch overwrites its own folder, and a replay with a fresh checkpoint, whose batch
+numbers start anew, gets folders of its own. A snapshot lists the folders it covers; readers fold the newest
+snapshot and all folders it does not list. Tombstones are part of the state, so the order in which batches arrive does
+not matter. ``compact`` writes the next snapshot.
 """
 
 from __future__ import annotations
@@ -22,22 +23,47 @@ HELPERS = ("_op", "_source_ts_ms", "_tiebreak", "_deleted")
 
 
 def _order(columns: Sequence[str]) -> list[str]:
-    return [c for c in ("_source_ts_ms", "_tiebreak") if c in columns]
+    """What decides between changes of a key. Rows without an offset, such as those of a snapshot, come first."""
+    return [c for c in ("_source_ts_ms", "_tiebreak", "_op") if c in columns]
 
 
-def _complete(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
-    """Finished ``prefix=<n>`` folders (those with a success marker), by number."""
+def _folders(spark: SparkSession, folder: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return {}
-    done = {}
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(f"{prefix}=") and fs.exists(marker):
-            done[int(name.split("=", 1)[1])] = status.getPath().toString()
-    return done
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def has_stream(spark: SparkSession, folder: str) -> bool:
+    """Whether a file sink has committed anything to the folder."""
+    return "_spark_metadata" in _folders(spark, folder)
+
+
+def _batches(spark: SparkSession, table: str) -> list[str]:
+    """Finished change folders, relative to the table's changes."""
+    found = []
+    for run in _folders(spark, f"{table}/changes"):
+        found += [f"{run}/{b}" for b in _folders(spark, f"{table}/changes/{run}") if finished(spark, f"{table}/changes/{run}/{b}")]
+    return sorted(found)
+
+
+def _snapshot(spark: SparkSession, table: str) -> tuple[int, set[str]]:
+    """Number of the newest finished snapshot (-1: none) and the change folders it covers."""
+    numbers = [int(n.split("=")[1]) for n in _folders(spark, f"{table}/snapshots") if n.startswith("n=")]
+    for n in sorted(numbers, reverse=True):
+        if finished(spark, f"{table}/snapshots/n={n}/covers"):
+            return n, {r["folder"] for r in spark.read.parquet(f"{table}/snapshots/n={n}/covers").collect()}
+    return -1, set()
+
+
+def write_changes(rows: DataFrame, key: str, table: str, run: str, number: int) -> None:
+    """One folder of changes, folded per key; written again it replaces itself."""
+    folded = fold_latest(rows, [key], _order(rows.columns))
+    folded.write.mode("overwrite").parquet(f"{table}/changes/run={run}/batch={number}")
 
 
 def start_apply_changes(
@@ -56,8 +82,8 @@ def start_apply_changes(
         rows = clean(batch)
         if rules is not None:
             rows = rules(rows)
-        folded = fold_latest(rows, [key], _order(rows.columns))
-        folded.write.mode("overwrite").parquet(f"{table}/changes/batch={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_changes(rows, key, table, stream, batch_id)
 
     return (
         source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -65,20 +91,22 @@ def start_apply_changes(
     )
 
 
-def _state(spark: SparkSession, table: str, key: str) -> tuple[DataFrame | None, int]:
-    snapshots = _complete(spark, f"{table}/snapshots", "upto")
-    upto = max(snapshots, default=-1)
-    batches = {n: p for n, p in _complete(spark, f"{table}/changes", "batch").items() if n > upto}
-    paths = ([snapshots[upto]] if upto >= 0 else []) + [batches[n] for n in sorted(batches)]
+def _state(spark: SparkSession, table: str, key: str) -> tuple[DataFrame | None, int, list[str]]:
+    number, covered = _snapshot(spark, table)
+    batches = _batches(spark, table)
+    paths = [f"{table}/changes/{b}" for b in batches if b not in covered]
+    if number >= 0:
+        paths.append(f"{table}/snapshots/n={number}/rows")
     if not paths:
-        return None, -1
+        return None, number, batches
+    # The folders are named one by one, so their names do not become columns.
     rows = spark.read.option("mergeSchema", "true").parquet(*paths)
-    return fold_latest(rows, [key], _order(rows.columns)), max([upto, *batches])
+    return fold_latest(rows, [key], _order(rows.columns)), number, batches
 
 
 def current(spark: SparkSession, table: str, key: str, schema: T.StructType, *, deletes: bool = True) -> DataFrame:
     """The visible state: one row per live key, helper columns removed."""
-    state, _ = _state(spark, table, key)
+    state, _, _ = _state(spark, table, key)
     if state is None:
         return spark.createDataFrame([], schema)
     if deletes:
@@ -87,9 +115,15 @@ def current(spark: SparkSession, table: str, key: str, schema: T.StructType, *,
 
 
 def compact(spark: SparkSession, table: str, key: str) -> int:
-    """Fold everything so far (tombstones included) into a new snapshot; older folders are left
-    for the retention job. Returns the last batch it covers."""
-    state, upto = _state(spark, table, key)
-    if state is not None:
-        state.write.mode("overwrite").parquet(f"{table}/snapshots/upto={upto}")
-    return upto
+    """Fold everything so far (tombstones included) into a new snapshot, and return its number.
+
+    The list of covered folders is written last: until then readers use the snapshot before. Covered folders are left
+    for the retention job.
+    """
+    state, number, batches = _state(spark, table, key)
+    if state is None:
+        return number
+    state.write.mode("overwrite").parquet(f"{table}/snapshots/n={number + 1}/rows")
+    spark.createDataFrame([(b,) for b in batches], "folder string").coalesce(1).write.mode("overwrite").parquet(
+        f"{table}/snapshots/n={number + 1}/covers")
+    return number + 1

@@ -25,7 +25,11 @@ class Lake:
     root: str
 
     def bronze(self, topic: str) -> str:
-        return f"{self.root}/bronze/{topic}"
+        return f"{self.root}/bronze/{topic}/stream"
+
+    def snapshot(self, topic: str) -> str:
+        """Bootstrap rows. They have a folder of their own: the file sink of the stream hides what it did not write."""
+        return f"{self.root}/bronze/{topic}/snapshot"
 
     def dead_letters(self, topic: str) -> str:
         return f"{self.root}/bronze/_dlq/{topic}"
@@ -63,6 +67,9 @@ def refresh_silver(spark: SparkSession, lake: Lake, topics: list[str]) -> None:
     running = []
     for name in topics:
         clean, _ = silver.CLEANERS[name]
+        apply_snapshot(spark, lake, name)
+        if not changes.has_stream(spark, lake.bronze(name)):
+            continue
         schema = spark.read.parquet(lake.bronze(name)).schema
         source = feeds.bronze_stream(spark, lake.bronze(name), schema)
         running.append(changes.start_apply_changes(
@@ -73,6 +80,17 @@ def refresh_silver(spark: SparkSession, lake: Lake, topics: list[str]) -> None:
         query.awaitTermination()
 
 
+def apply_snapshot(spark: SparkSession, lake: Lake, name: str) -> None:
+    """Bootstrap rows as one folder of changes. They have no offset and so give way to any message of the same time."""
+    if not changes.finished(spark, lake.snapshot(name)):
+        return
+    clean, _ = silver.CLEANERS[name]
+    rows = clean(tables.read_table(spark, lake.snapshot(name)))
+    if _rules(name) is not None:
+        rows = _rules(name)(rows)
+    changes.write_changes(rows, TOPICS[name].key, lake.silver(name), "snapshot", 0)
+
+
 def silver_table(spark: SparkSession, lake: Lake, name: str) -> DataFrame:
     clean, deletes = silver.CLEANERS[name]
     topic = TOPICS[name]

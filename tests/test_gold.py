@@ -69,16 +69,32 @@ def test_semantic_stays_in_the_tenant_and_matches_brute_force(spark):
         na, nb = sum(x * x for x in q) ** 0.5, sum(x * x for x in c.embedding) ** 0.5
         scored.append((-sum(x * y for x, y in zip(q, c.embedding)) / (na * nb) if na and nb else 0.0, c.chunk_id))
     expected = [c for _, c in sorted(scored)[:10]]
-    for small in (True, False):
-        got = retrieval.semantic_topk(chunks, queries, small_batch=small).orderBy("rank").collect()
-        assert [r.chunk_id for r in got] == expected and {r.tenant_id for r in got} == {"t_1"}
-        assert {r.tenant_id for r in retrieval.lexical_topk(chunks, queries, small_batch=small).collect()} == {"t_1"}
+    got = retrieval.semantic_topk(chunks, queries).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == expected and {r.tenant_id for r in got} == {"t_1"}
+    assert {r.tenant_id for r in retrieval.lexical_topk(chunks, queries).collect()} == {"t_1"}
+
+
+def test_lexical_search_keeps_letters_of_all_scripts(spark):
+    chunks = spark.createDataFrame([("a", "t", "Café Peñón"), ("b", "t", "Москва 東京"), ("c", "t", "caf pe n")],
+                                   "chunk_id string, tenant_id string, chunk_text string")
+    asked = spark.createDataFrame([("q1", "t", "CAFÉ peñón"), ("q2", "t", "москва")], "query_id string, tenant_id string, query_text string")
+    got = {(r.query_id, r.chunk_id) for r in retrieval.lexical_topk(chunks, asked).collect()}
+    assert got == {("q1", "a"), ("q2", "b")}
+
+
+def test_history_keeps_the_grain_beyond_one_page(spark):
+    events = spark.range(2500).selectExpr(
+        "'t' AS tenant_id", "'e' AS expense_id", "cast(id AS string) AS event_type", "timestamp_seconds(id) AS created_at", "cast(id AS string) AS event_id")
+    table = spark.createDataFrame([("t", "e", 5.0), ("t", "none", 7.0)], "tenant_id string, expense_id string, final_amount double")
+    rows = {r.expense_id: r for r in gold.audit_with_history(table, events).collect()}
+    assert len(rows) == 2 and rows["e"].event_count == 2500 and rows["e"].history_pages == 3 and rows["e"].last_event_type == "2499"
+    assert rows["none"].event_count is None
 
 
 def test_wide_buckets_make_the_approximate_search_exact(spark):
     chunks, queries = vectors(spark)
     exact = [r.chunk_id for r in retrieval.semantic_topk(chunks, queries, 5).orderBy("rank").collect()]
-    near = [r.chunk_id for r in retrieval.approximate_topk(chunks, queries, 5, bucket_length=100.0).orderBy("rank").collect()]
+    near = [r.chunk_id for r in retrieval.approximate_topk(chunks, queries, 5, planes=4, flips=4).orderBy("rank").collect()]
     assert near == exact
 
 

@@ -32,6 +32,27 @@ def test_cited_in_text_order(spark):
     assert grounding.cited_expenses(answers(spark, "no links"), rows).count() == 0
 
 
+def test_failed_calls_ground_nothing(spark):
+    rows = tool_rows(spark, ("A", "1", None, "sql", "timeout"), ("B", "1", None, "sql", None))
+    row = grounding.strip_ungrounded(answers(spark, "[a](/expenses/A) and [b](/expenses/B)"), rows).first()
+    assert row.text == "and [b](/expenses/B)" and row.removed_ids == ["A"]
+
+
+def test_tool_rows_of_all_shapes(spark):
+    def message(role, *payloads):
+        blocks = ",".join('{"toolResult":{"content":[{"json":%s}]}}' % p for p in payloads)
+        return role, f'[{{"text":"hi"}},{blocks}]'
+
+    said = [
+        message("user", '[{"expense_id":"A","amount":5},{"expense_id":"B","_source":"semantic"}]', '{"rows":[{"expense_id":"C"}]}'),
+        message("user", '{"error":"boom","rows":[{"expense_id":"D"}]}', '{"total":12}', '[]'),
+        message("assistant", '[{"expense_id":"E"}]'), ("user", "plain text"), ("user", None),
+    ]
+    df = spark.createDataFrame([(1, i, r, c) for i, (r, c) in enumerate(said)], "conv_id int, turn int, role string, content string")
+    got = grounding.citations(grounding.tool_rows_from_messages(df)).orderBy("citation_no").collect()
+    assert [(r.expense_id, r.amount, r.source) for r in got] == [("A", 5.0, "unknown"), ("B", None, "semantic"), ("C", None, "unknown")]
+
+
 def test_strip(spark):
     rows = tool_rows(spark, ("A", "1", None, "sql", None))
     text = "  [bad](/expenses/Z) start [a](/expenses/A)\n\n\n\nmid [bad2]( /expenses/Y-1 ) end [x](/other/A) \n"

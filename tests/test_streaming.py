@@ -57,6 +57,38 @@ def test_stream_equals_batch_and_survives_restarts(spark, domain, tmp_path):
     assert upto >= 0 and rows_of(medallion.silver_table(spark, lake, "expenses").select(*want.columns)) == rows_of(want)
 
 
+def test_seeded_rows_reach_silver_beside_the_stream(spark, domain, tmp_path):
+    lake = medallion.Lake(f"{tmp_path}/lake")
+    columns = ["expense_id", "tenant_id", F.col("amount").cast("double"), "status", F.lit("2020-01-01T00:00:00Z").alias("updated_at")]
+    domain.expenses.select(*columns).where("status <> 'bogus'").limit(7).write.json(f"{tmp_path}/export")
+    assert tables.seed_collection(spark, f"{tmp_path}/export", lake.snapshot("expenses"), schemas.EXPENSES)
+    put_messages(domain.expense_messages, f"{tmp_path}/inbox", 2)
+    for q in medallion.ingest(spark, lake, {"expenses": feeds.messages_from_files(spark, f"{tmp_path}/inbox")}, ingest.DRAIN):
+        q.awaitTermination()
+    medallion.refresh_silver(spark, lake, ["expenses"])
+    seeded = spark.read.parquet(lake.snapshot("expenses")).select("expense_id")
+    silver_rows = medallion.silver_table(spark, lake, "expenses")
+    assert seeded.count() == 7 and seeded.join(silver_rows, "expense_id", "left_anti").isEmpty()
+    assert silver_rows.count() > 7
+
+
+def test_replay_with_a_fresh_checkpoint_loses_nothing(spark, domain, tmp_path):
+    inbox, lake = f"{tmp_path}/inbox", medallion.Lake(f"{tmp_path}/lake")
+    put_messages(domain.expense_messages, inbox, 4)
+    for q in medallion.ingest(spark, lake, {"expenses": feeds.messages_from_files(spark, inbox)}, ingest.DRAIN):
+        q.awaitTermination()
+    medallion.refresh_silver(spark, lake, ["expenses"])
+    before = rows_of(medallion.silver_table(spark, lake, "expenses"))
+    assert changes.compact(spark, lake.silver("expenses"), "expense_id") == 0
+    clean, _ = silver.CLEANERS["expenses"]
+    source = feeds.bronze_stream(spark, lake.bronze("expenses"), spark.read.parquet(lake.bronze("expenses")).schema)
+    changes.start_apply_changes(source, clean, "expense_id", lake.silver("expenses"), f"{tmp_path}/fresh",
+                                rules=silver.valid_changes, trigger=ingest.DRAIN).awaitTermination()
+    assert rows_of(medallion.silver_table(spark, lake, "expenses")) == before
+    assert changes.compact(spark, lake.silver("expenses"), "expense_id") == 1
+    assert rows_of(medallion.silver_table(spark, lake, "expenses")) == before
+
+
 def test_whole_refresh(spark, domain, tmp_path):
     lake = medallion.Lake(f"{tmp_path}/lake")
     feeds_of = {
