@@ -38,6 +38,7 @@ class Topic:
         return _ddl(self.payload).fieldNames()
 
 
+# Payload fields of each topic, as the source writes them.
 EXPENSES = Topic(
     name="expenses",
     key="expense_id",

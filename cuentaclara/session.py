@@ -22,16 +22,3 @@ def build_session(app: str = "cuentaclara", master: str | None = None, **conf: s
     for key, value in {**CORE_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder.
-
-    ``fallback`` is used only where the setting is absent, as in local tests.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    return fallback
