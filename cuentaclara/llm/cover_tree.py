@@ -34,6 +34,7 @@ BLOCK = 4096
 LEAF = 64
 SLACK = 1e-9
 CENTRES = 2000
+PER_HOME = 1024
 
 
 @dataclass
@@ -233,11 +234,14 @@ def vectors_of(embeddings: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary")
 
 
-def _uppers(points: DataFrame, centres: int) -> dict:
-    """Upper levels per (label, length), from at most about ``centres`` points, those with the smallest hash."""
+def _uppers(points: DataFrame, centres: int, per_home: int) -> dict:
+    """Upper levels per (label, length), from one of ``per_home`` points and at most about ``centres``, those with the smallest hash.
+
+    More homes than that would not prune better where vectors lie far apart, and each point may be sent to every home."""
     total = points.count()
+    centres = max(1, min(centres, total // per_home))
     pick = F.shiftrightunsigned(F.xxhash64("unit", F.lit(5)), 11) / F.lit(float(1 << 53))
-    rows = points.where(pick < min(1.0, centres / max(total, 1))).select("label", "unit").limit(2 * centres).collect()
+    rows = points.where(pick < min(1.0, centres / max(total, 1))).select("label", "unit").limit(2 * centres + 20).collect()
     groups: dict = {}
     for label, unit in sorted((r["label"], bytes(r["unit"])) for r in rows):
         groups.setdefault((label, len(unit)), []).append(np.frombuffer(unit))
@@ -342,13 +346,14 @@ def found_links(sent: DataFrame, cosine: float) -> DataFrame:
     return sent.groupBy("cell").applyInArrow(run, "node long, n long, other long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.98, block: int = BLOCK, centres: int = CENTRES,
+                    per_home: int = PER_HOME) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector, also for those that link with nothing."""
     rows = written(vectors_of(embeddings), "cover-vectors")
     points = written(rows.where("unit IS NOT NULL").groupBy("label", "unit").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight")).select(
         F.monotonically_increasing_id().alias("node"), "label", "unit", "first_id", "weight"), "cover-points")
-    uppers = _uppers(points, centres)
+    uppers = _uppers(points, centres, per_home)
     placed = written(homes(points, uppers), "cover-homes")
     found = written(found_links(cells(placed, uppers, cosine, block), cosine), "cover-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step gives every node the smallest node it has seen and keeps the number of edges. Tables between the steps live in
-the shared folder; nothing about nodes or edges reaches the driver but a count and a checksum. A node with very many
+the shared folder; nothing about nodes or edges reaches the driver but whether they have settled. A node with very many
 edges is split by the skew handling of the joins, as both sides are plain tables.
 """
 
@@ -27,8 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return onwards.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node u points to one node v, and no v points on: then every v is the smallest node of its component."""
+    out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("targets"), F.lit(0).alias("sources"))
+    into = edges.groupBy(F.col("v").alias("u")).agg(F.lit(0).cast("long").alias("targets"), F.lit(1).alias("sources"))
+    nodes = out.unionByName(into).groupBy("u").agg(F.sum("targets").alias("targets"), F.max("sources").alias("sources"))
+    return nodes.where("targets > 1 OR (targets = 1 AND sources = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,11 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     plain = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     current = written(plain, "star-edges")
-    before, now = None, _state(current)
-    while now != before:
+    while not _settled(current):
         new = written(_small_star(written(_large_star(current), "star-large")), "star-edges")
         dropped(current)
-        current, before = new, now
-        now = _state(current)
+        current = new
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
