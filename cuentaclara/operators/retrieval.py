@@ -253,10 +253,11 @@ def hybrid_topk(
     chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, depth: int | None = None
 ) -> DataFrame:
     """Dense and lexical rankings, fused. ``queries`` carries both query_vec and query_text; ``depth`` is how far down
-    each ranking is fused. The lexical side reads the chunks' texts, the dense side the newest embeddings; neither
-    needs the other's table."""
+    each ranking is fused. The lexical side reads the chunks' texts, the dense side the newest embeddings of
+    chunks that still exist."""
     depth = depth or k
-    dense = semantic_topk(embeddings.select("chunk_id", "tenant_id", "embedding"), queries, depth)
+    current = embeddings.join(chunks.select("chunk_id", "tenant_id"), ["chunk_id", "tenant_id"], "left_semi")
+    dense = semantic_topk(current.select("chunk_id", "tenant_id", "embedding"), queries, depth)
     lexical = lexical_topk(chunks.select("chunk_id", "tenant_id", "chunk_text"), queries, depth)
     return reciprocal_rank_fusion([dense, lexical], k)
 
