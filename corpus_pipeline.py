@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a 4-gram Jaccard similarity of 0.85 or more the one with the smallest doc_id stays."""
-    return jaccard_join.kept_rows(docs)
+    """Of documents connected by a 5-gram Jaccard similarity of 0.80 or more the one with the smallest doc_id stays."""
+    return jaccard_join.kept_rows(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

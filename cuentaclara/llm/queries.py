@@ -90,7 +90,8 @@ def _(spark, sf_dir):
 
 @query("op6_jaccard_join")
 def _(spark, sf_dir):
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_exact_dedup", r"""

@@ -58,3 +58,12 @@ def test_stages(spark, request, sf_dir, table):
     sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
     want = sorted(hashlib.sha256(",".join(map(str, sp.encode(r.text))).encode()).hexdigest() for r in mixed)
     assert sorted(r.ids_sha256 for r in docs.collect()) == want
+
+
+def test_near_copies_of_the_stage_are_those_of_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]
+    # 100 of 120 shingles of five words are shared (0.83); those of four: 101 of 121 (0.835); the third text shares too few.
+    texts = [base, base + [f"x{i}" for i in range(20)], base[:60] + [f"y{i}" for i in range(44)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
