@@ -13,7 +13,7 @@ from cuentaclara.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or without a letter go."""
+    """Documents whose language can be told; those without text or without a letter go, also where no language can be learned."""
     return language_id.identified_rows(docs)
 
 

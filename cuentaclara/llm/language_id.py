@@ -35,6 +35,7 @@ ORDERS = (1, 2, 3, 4)
 BITS = 14
 BUCKETS = 1 << BITS
 SHARPNESS = 6.0
+LETTER = r"\p{L}"
 #: Classes a model may have; the most frequent values of lang are learned.
 MAX_LANGUAGES = 200
 
@@ -116,7 +117,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed:
 def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Model | None:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     labelled = own_columns(docs, "doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (held_out_remainder() != 2))
+        F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (held_out_remainder() != 2))
     pick = sample_key()
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -137,11 +138,15 @@ def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Mod
 
 def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3, whole_rows: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row; with ``whole_rows`` also ``row``, a struct of all its columns."""
-    model = train(docs, train_rows, landmarks, ridge)
+    return predicted(docs, train(docs, train_rows, landmarks, ridge), whole_rows)
+
+
+def predicted(docs: DataFrame, model: Model | None, whole_rows: bool = False) -> DataFrame:
+    """The columns of ``classify`` by a fitted model, or by none."""
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     base = own_columns(docs, *docs.columns).select(
         "doc_id", F.coalesce(held_out_remainder() == 2, F.lit(True)).alias("held_out"), "text",
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), *whole)
+        F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("has_letter"), *whole)
     carried = ["doc_id", "held_out", *["row"] * whole_rows]
     if model is None:
         return base.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -174,7 +179,14 @@ def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridg
     return base.mapInArrow(run, schema)
 
 
-def identified_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose language is unknown (null text, or no letter in it)."""
-    kept = classify(docs, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
+def identified_rows(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3) -> DataFrame:
+    """``docs`` with all its columns, without the rows whose language is unknown (null text, or no letter in it).
+
+    With a model only ``und`` is rejected, and no text with a letter is: ``und`` as a label is not learned here. Where no
+    language can be learned, every text with a letter stays.
+    """
+    model = train(docs.where(F.col("`lang`") != UNKNOWN), train_rows, landmarks, ridge)
+    if model is None:
+        return docs.where(F.col("`text`").rlike(LETTER))
+    kept = predicted(docs, model, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

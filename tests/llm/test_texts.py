@@ -223,6 +223,14 @@ def test_language(spark, odd, nothing):
     assert language_id.identified_rows(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_without_a_language_to_learn_texts_with_letters_stay(odd, lang):
+    bare = odd.withColumn("lang", F.lit(lang).cast("string"))
+    want = sorted(r.text for r in odd.collect() if re.search(r"[^\W\d_]", r.text or ""))
+    kept = language_id.identified_rows(bare)
+    assert kept.columns == odd.columns and sorted(r.text for r in kept.collect()) == want
+
+
 def test_quality(spark, odd, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(docs, labels).join(labels, "doc_id").collect()
