@@ -1380,19 +1380,31 @@ ORACLES["hybrid_rrf"] = oracle.complete("""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM fused) t WHERE rank <= 10""")
 
 
-@query("semantic_approximate", "SELECT count(*) AS queries, true AS recall_above_bound, true AS candidates_below_bound FROM questions")
-def _(d):
-    # Against the exact search: at least 70 of 100 neighbours found while at most 70 of 100 pairs are scored.
+def approximate_report(d):
+    """The hits of the approximate search; and in one row its recall against the exact search and the share of pairs it scores."""
     newest = retrieval.latest_embeddings(d.embedding_log)
     exact = retrieval.semantic_topk(newest.select("chunk_id", "tenant_id", "embedding"), d.questions).select("query_id", "chunk_id")
-    found = retrieval.approximate_topk(newest, d.questions).select("query_id", "chunk_id", F.lit(1).alias("hit"))
-    recall = exact.join(found, ["query_id", "chunk_id"], "left").agg((F.count("hit") / F.count(F.lit(1)) >= 0.7).alias("recall_above_bound"))
+    hits = retrieval.approximate_topk(newest, d.questions)
+    found = hits.select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "chunk_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
     pairs = newest.join(d.questions.select("tenant_id", "query_id"), "tenant_id").agg(F.count(F.lit(1)).alias("n"))
     tried = retrieval.approximate_candidates(newest, d.questions).agg(F.count(F.lit(1)).alias("m"))
-    asked = d.questions.agg(ops.rows().alias("queries"))
-    one = [df.withColumn("one", F.lit(1)) for df in (asked, recall, pairs, tried)]
-    return one[0].join(one[1], "one").join(one[2], "one").join(one[3], "one").select(
-        "queries", "recall_above_bound", (F.col("m") <= 0.7 * F.col("n")).alias("candidates_below_bound"))
+    one = [df.withColumn("one", F.lit(1)) for df in (recall, pairs, tried)]
+    return hits, one[0].join(one[1], "one").join(one[2], "one").select("recall", (F.col("m") / F.col("n")).alias("candidate_share"))
+
+
+@query("semantic_approximate", "SELECT count(*) AS queries, true AS recall_above_bound, true AS candidates_below_bound FROM questions")
+def _(d):
+    # Against the exact search: at least 90 of 100 neighbours found while at most 70 of 100 pairs are scored.
+    _, measured = approximate_report(d)
+    return d.questions.agg(ops.rows().alias("queries")).crossJoin(measured).select(
+        "queries", (F.col("recall") >= 0.9).alias("recall_above_bound"), (F.col("candidate_share") <= 0.7).alias("candidates_below_bound"))
+
+
+@query("semantic_approximate_hits")
+def _(d):
+    hits, measured = approximate_report(d)
+    return hits.select("query_id", "tenant_id", "chunk_id", "rank", "score").crossJoin(F.broadcast(measured))
 
 
 @query("embed_on_the_fly", """

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuentaclara.operators import gold, ocr, retrieval
@@ -98,6 +99,21 @@ def test_wide_buckets_make_the_approximate_search_exact(spark):
     assert near == exact
 
 
+def test_the_approximate_search_finds_nine_of_ten_neighbours(spark):
+    from cuentaclara.plans.queries import QUERIES
+
+    rng = np.random.default_rng(0)
+    rows = [(f"c{i}", "t", rng.normal(size=64).tolist()) for i in range(300)]
+    asked = [(f"q{i}", "t", rng.normal(size=64).tolist()) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, tenant_id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id string, tenant_id string, query_vec array<double>")
+    exact = {(r.query_id, r.chunk_id) for r in retrieval.semantic_topk(chunks, queries, 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in retrieval.approximate_topk(chunks, queries, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    hits = QUERIES["semantic_approximate_hits"](spark, "/root/testdata/sf0.001").collect()
+    assert len(hits) == 50 and all(0.9 <= r.recall <= 1 and 0 < r.candidate_share <= 0.7 for r in hits)
+
+
 def test_embedder_must_answer_for_every_text(spark):
     import pytest
 
