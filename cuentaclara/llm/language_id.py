@@ -7,9 +7,11 @@ in that space. A batch of texts is scored by matrix products: presence (texts x
 the kernel block, times coefficients the scores. As the kernel is linear in the presence of x, landmark presence and
 coefficients are multiplied once, when the model is fitted.
 
-The classifier is fitted on at most ``train_rows`` labelled rows, those with the smallest hash of (doc_id, text) within
-each language. Each language keeps at least its share, so a frequent one cannot push out the others. Model size depends
-on parameters and the number of languages only; that is what is broadcast.
+Every value of lang is learned. The classifier is fitted on ``train_rows`` labelled rows shared equally by the languages, or
+``LEAST_ROWS`` of each language where that is more: those with the smallest hash of (doc_id, text) within the language, so a
+frequent one cannot push out the others. Model size depends on parameters and the number of languages only; that is what is
+broadcast. With more languages than landmarks the product with the coefficients is taken per batch instead, so a
+further language costs one number per landmark.
 
 Defined results: ``und`` with score 0 where the text is null or holds no letter (Unicode category L), or where no
 language could be learned. A null doc_id counts as held out (its remainder is null). Repeated rows are scored alike. Scores are the share
@@ -36,8 +38,8 @@ BITS = 14
 BUCKETS = 1 << BITS
 SHARPNESS = 6.0
 LETTER = r"\p{L}"
-#: Classes a model may have; the most frequent values of lang are learned.
-MAX_LANGUAGES = 200
+#: Rows of each language at least, however many languages share ``train_rows``.
+LEAST_ROWS = 12
 
 
 def held_out_remainder():
@@ -82,57 +84,72 @@ def sample_key():
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (orders * BUCKETS) x languages
+    weights: np.ndarray  # (orders * BUCKETS) x languages; with coefficients x landmarks
     bias: np.ndarray
+    coefficients: np.ndarray | None = None  # landmarks x languages
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return normalised(presence(texts)) @ self.weights + self.bias
+        found = normalised(presence(texts)) @ self.weights
+        return (found if self.coefficients is None else found @ self.coefficients) + self.bias
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed: int = 7) -> Model:
     """One-versus-rest kernel ridge regression on the Nyström features of the given rows."""
     languages = sorted(set(langs))
     order = np.random.default_rng(seed).permutation(len(texts))
-    marks = normalised(presence([texts[i] for i in order[:landmarks]]))
-    gram = (marks @ marks.T).astype("float64")
     block = 32
+    marks = np.concatenate(
+        [normalised(presence([texts[i] for i in order[at:min(at + block, landmarks)]])) for at in range(0, min(landmarks, len(texts)), block)])
+    gram = (marks @ marks.T).astype("float64")
     kernel = np.concatenate(
         [normalised(presence(texts[i:i + block])) @ marks.T for i in range(0, len(texts), block)]).astype("float64")
-    targets = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    # A language's rows weigh as much as all others together.
+    # Sums over all rows are taken once, from a common origin; each language adds those over its own rows.
+    origin = kernel.mean(axis=0)
+    kernel -= origin
+    total, square = kernel.sum(axis=0), kernel.T @ kernel
+    members: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        members.setdefault(lang, []).append(i)
     bias = np.zeros(len(languages))
     coefficients = np.zeros((len(marks), len(languages)))
-    for c in range(len(languages)):
-        positive = targets[:, c] > 0
-        weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
-        center = weight @ kernel
-        mean = weight @ targets[:, c]
-        centered = kernel - center
-        left = (centered * weight[:, None]).T @ centered + ridge * gram / len(marks) + 1e-9 * np.eye(len(marks))
-        coefficients[:, c] = np.linalg.solve(left, (centered * weight[:, None]).T @ (targets[:, c] - mean))
-        bias[c] = mean - center @ coefficients[:, c]
-    return Model(languages, marks.T @ coefficients.astype("float32"), bias.astype("float32"))
+    for c, lang in enumerate(languages):
+        own = kernel[members[lang]]
+        # A language's rows weigh as much as all others together.
+        inside, outside = 0.5 / len(own), 0.5 / max(len(texts) - len(own), 1)
+        weight = inside * len(own) + outside * (len(texts) - len(own))
+        own_sum, own_square = own.sum(axis=0), own.T @ own
+        center = inside * own_sum + outside * (total - own_sum)
+        mean = inside * len(own) - outside * (len(texts) - len(own))
+        # Weighted sums of (row - center)(row - center)' and (row - center)(target - mean).
+        spread = inside * own_square + outside * (square - own_square) + (weight - 2) * np.outer(center, center)
+        toward = inside * (1 - mean) * (own_sum - len(own) * center) - outside * (1 + mean) * (
+            total - own_sum - (len(texts) - len(own)) * center)
+        left = spread + ridge * gram / len(marks) + 1e-9 * np.eye(len(marks))
+        coefficients[:, c] = np.linalg.solve(left, toward)
+        bias[c] = mean - (center + origin) @ coefficients[:, c]
+    small, bias = coefficients.astype("float32"), bias.astype("float32")
+    if len(languages) > len(marks):
+        return Model(languages, marks.T, bias, small)
+    return Model(languages, marks.T @ small, bias)
 
 
 def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Model | None:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of the labelled rows of every language outside the held-out fold."""
     labelled = own_columns(docs, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (held_out_remainder() != 2))
     pick = sample_key()
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = max(1, train_rows // len(counts))
+    share = max(1, train_rows // len(counts), min(LEAST_ROWS, train_rows))
     # The hash is uniform: rows below this limit are a few more than needed, whatever the size of the input.
-    wanted = F.lit(False)
-    for row in counts:
-        fraction = min(1.0, (share + 6 * share**0.5 + 20) / row["count"])
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (pick < fraction))
-    sample = labelled.where(wanted).select("lang", "text", pick.alias("pick"))
+    limits = [(lang, min(1.0, (share + 6 * share**0.5 + 20) / n)) for lang, n in counts.items()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below double"))
+    sample = labelled.withColumn("pick", pick).join(wanted, "lang").where("pick < below").select("lang", "text", "pick")
     by_lang: dict[str, list] = {}
     for row in sample.collect():
         by_lang.setdefault(row["lang"], []).append((row["pick"], row["text"]))
-    rows = [(lang, text) for lang, found in by_lang.items() for _, text in sorted(found)[:share]]
+    rows = [(lang, text) for lang, found in sorted(by_lang.items()) for _, text in sorted(found)[:share]]
     return fit([t for _, t in rows], [lang for lang, _ in rows], landmarks, ridge)
 
 
@@ -150,7 +167,7 @@ def predicted(docs: DataFrame, model: Model | None, whole_rows: bool = False) ->
     carried = ["doc_id", "held_out", *["row"] * whole_rows]
     if model is None:
         return base.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias, model.coefficients))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -231,6 +231,18 @@ def test_without_a_language_to_learn_texts_with_letters_stay(odd, lang):
     assert kept.columns == odd.columns and sorted(r.text for r in kept.collect()) == want
 
 
+def test_every_language_is_learned(spark):
+    rng, rows = np.random.default_rng(3), []
+    for lang in range(230):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(rng.choice(words, 25)), f"l{lang:03}") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for landmarks in (300, 150):  # 150: fewer landmarks than languages
+        found = language_id.classify(docs, landmarks=landmarks).join(docs, "doc_id").collect()
+        assert len({r.lang_pred for r in found}) == 230
+        assert np.mean([r.lang_pred == r.lang for r in found if r.held_out]) > 0.95
+
+
 def test_quality(spark, odd, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(docs, labels).join(labels, "doc_id").collect()
