@@ -60,13 +60,24 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def _carried(column: str, columns: list[str]) -> str:
+    """The name under which a column stands beside ``row_key``: its own, unless that is row_key."""
+    if column.lower() != "row_key":
+        return column
+    taken, name = {c.lower() for c in columns}, "_own_row_key"
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """All columns and ``row_key``, a content locator (file and row in it) that is the same in every scan.
 
-    A frame that is not a plain scan is written to the shared folder first, and that table is scanned.
+    A frame that is not a plain scan is written to the shared folder first, and that table is scanned. A column of the
+    frame that has this name is carried under another one; ``without_rows`` gives the name back.
     """
     key = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("row_key")
-    plain = [F.col(f"`{c}`") for c in docs.columns if c != "row_key"]
+    plain = [F.col(f"`{c}`").alias(_carried(c, docs.columns)) for c in docs.columns]
     try:
         return docs.select(*plain, key)
     except AnalysisException:
@@ -75,7 +86,8 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 def without_rows(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of the rows whose row_key is not in ``gone``."""
-    return keyed.join(gone.select("row_key"), "row_key", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return keyed.join(gone.select("row_key"), "row_key", "left_anti").select(
+        *[F.col(f"`{_carried(c, columns)}`").alias(c) for c in columns])
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

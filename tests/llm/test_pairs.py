@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuentaclara.llm import cover_tree, exact_dedup, graph, jaccard_join
-from cuentaclara.llm.common import written
+from cuentaclara.llm.common import with_row_key, without_rows, written
 from cuentaclara.llm.shingles import Shingler
 
 
@@ -72,6 +72,12 @@ def test_rows_that_stay(odd):
         re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in odd.collect()})
 
 
+def test_a_column_named_row_key_is_kept(odd):
+    own = odd.withColumn("row_key", F.lit(5)).withColumn("_own_row_key", F.lit("x"))
+    for kept in (exact_dedup.kept_rows(own), without_rows(with_row_key(own), with_row_key(own).where("false"), own.columns)):
+        assert kept.dtypes == own.dtypes and {(r.row_key, r["_own_row_key"]) for r in kept.collect()} == {(5, "x")}
+
+
 # --- Jaccard ----------------------------------------------------------------------------------
 
 
