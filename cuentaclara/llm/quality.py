@@ -1,7 +1,7 @@
 """Quality classifier by nearest-neighbour voting among labelled latent-semantic vectors.
 
 Terms of a text are the shapes of its words (runs of lower case, upper case, digits and of each sign count as one
-character), pairs of consecutive shapes, and marks for its length, for words that repeat and for its share of signs. Counts are hashed to ``TERMS``
+character), pairs of consecutive shapes, and marks for its length and for its share of signs. Counts are hashed to ``TERMS``
 places, weighted by log(1 + tf) * idf with document frequencies over all documents, and projected on the leading singular
 vectors of the labelled rows. The labelled vectors are broadcast; their number is bounded by ``train_rows``. Each batch
 of documents is multiplied with all of them, block by block, and the ``neighbours`` most similar ones vote with
