@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.llm import cover_tree, exact_dedup, jaccard_join, language_id, licenses, mixing, pii, quality, sentence_pieces, warc
+from cuentaclara.llm import (
+    cover_tree,
+    exact_dedup,
+    fill_in_middle,
+    jaccard_join,
+    language_id,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    sentence_pieces,
+    warc,
+)
 from cuentaclara.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,10 +37,11 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_cover_tree", """
     WITH RECURSIVE v AS (
-        SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+    finite AS (
+        SELECT * FROM v WHERE len(e) > 0 AND list_count(e) = len(e) AND isfinite(list_sum(e))),
     ok AS (
-        SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
-        WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM finite),
     links AS (
         SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
         WHERE a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
@@ -118,3 +131,27 @@ def _(spark, sf_dir):
 @query("op10_language_id")
 def _(spark, sf_dir):
     return language_id.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fill_in_middle", r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+               sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    k AS (
+        SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                         OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    c AS (
+        SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+               array_to_string(u[greatest(a, b) + 1:], '') AS s FROM k)
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                            WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM c""")
+def _(spark, sf_dir):
+    return fill_in_middle.transform(
+        table(spark, sf_dir, "documents"),
+        outputs=("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
