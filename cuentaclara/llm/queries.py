@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuentaclara.llm import (
+    conversations,
     cover_tree,
     exact_dedup,
     fill_in_middle,
@@ -155,3 +156,69 @@ def _(spark, sf_dir):
     return fill_in_middle.transform(
         table(spark, sf_dir, "documents"),
         outputs=("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+
+
+@query("op13_conversation_repair", r"""
+    WITH RECURSIVE keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    poly AS (
+        SELECT i, i AS v, 0 AS step FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)) b
+        UNION ALL
+        SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM poly WHERE step < 8),
+    crc AS (
+        SELECT DISTINCT k, 0 AS done, CAST(4294967295 AS BIGINT) AS c FROM keyed
+        UNION ALL
+        SELECT k, done + 1, xor(c >> 8, p.v) FROM crc JOIN (SELECT i, v FROM poly WHERE step = 8) p
+            ON p.i = xor(c & 255, CAST(ascii(substr(k, done + 1, 1)) AS BIGINT)) WHERE done < length(k)),
+    hit AS (SELECT x.*, xor(c, CAST(4294967295 AS BIGINT)) % 20 AS h FROM keyed x JOIN crc ON x.k = crc.k AND done = length(x.k)),
+    turns AS (
+        SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM turns),
+    faults AS (
+        SELECT conv_id, turn, role, text, pos, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS b,
+               CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+               count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM faults GROUP BY conv_id),
+    steps(state, role, goal) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+    keeps(c, state, goal) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+    ins(state, goal, letters, more, price) AS (
+        SELECT state, state, '', '', 0 FROM steps
+        UNION ALL SELECT state, goal, 'I', chr(10) || role || ':', 2 FROM steps
+        UNION ALL SELECT a.state, b.goal, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':', 4 FROM steps a JOIN steps b ON b.state = a.goal),
+    dp AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS pos, ins.goal AS state, price AS cost, letters AS audit, more AS body FROM counts, ins WHERE ins.state = 0
+        UNION ALL
+        SELECT conv_id, pos, state, cost, audit, body FROM (
+            SELECT e.conv_id, e.pos, ins.goal AS state, e.cost + price AS cost, e.audit || letters AS audit, e.body || more AS body,
+                   row_number() OVER (PARTITION BY e.conv_id, ins.goal ORDER BY e.cost + price, e.audit || letters) AS best
+            FROM (
+                SELECT d.conv_id, f.pos, d.state, d.cost + 3 AS cost, d.audit || 'D' AS audit, d.body
+                FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+                UNION ALL
+                SELECT d.conv_id, f.pos, k.goal, d.cost + CASE WHEN fault IS NULL THEN 0 ELSE 1 END, d.audit || 'K', d.body || chr(10) || f.role || ':' || f.text
+                FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+                JOIN keeps k ON k.c = f.c AND k.state = d.state WHERE fault IS NULL OR fault = 'truncated'
+                UNION ALL
+                SELECT d.conv_id, f.pos, s.goal, d.cost + 2 + CASE WHEN fault IS NULL THEN 0 ELSE 1 END, d.audit || 'R', d.body || chr(10) || s.role || ':' || f.text
+                FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+                JOIN steps s ON s.state = d.state WHERE fault IS NULL OR fault = 'truncated') e
+            JOIN ins ON ins.state = e.state) t
+        WHERE best = 1),
+    ended AS (
+        SELECT d.conv_id, c.gaps, c.blank, c.duplicate, c.truncated, c.illegal, d.cost, d.audit, substr(d.body, 2) AS body,
+               row_number() OVER (PARTITION BY d.conv_id ORDER BY d.cost, d.audit) AS best
+        FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.pos WHERE d.state IN (0, 3))
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN (SELECT * FROM ended WHERE best = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(rows), rows)
