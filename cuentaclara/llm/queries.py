@@ -18,6 +18,7 @@ from cuentaclara.llm import (
     mixing,
     pii,
     quality,
+    secret_scan,
     sentence_pieces,
     warc,
 )
@@ -158,6 +159,11 @@ def _(spark, sf_dir):
         outputs=("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
 
 
+@query("op12_secret_scan")
+def _(spark, sf_dir):
+    return secret_scan.summary(table(spark, sf_dir, "documents"))
+
+
 @query("op13_conversation_repair", r"""
     WITH RECURSIVE keyed AS (
         SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
