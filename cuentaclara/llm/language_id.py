@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,16 +93,23 @@ class Model:
         return (found if self.coefficients is None else found @ self.coefficients) + self.bias
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed: int = 7) -> Model:
-    """One-versus-rest kernel ridge regression on the Nyström features of the given rows."""
+def packed(texts: list[str | None]) -> np.ndarray:
+    """The presence of each text as a row of bits: 8 KB, however long the text is."""
+    return np.packbits(presence(texts).reshape(len(texts), -1), axis=1)
+
+
+def fit(bits: np.ndarray, langs: list[str], landmarks: int, ridge: float, seed: int = 7) -> Model:
+    """One-versus-rest kernel ridge regression on the Nyström features of the given rows of ``packed``."""
     languages = sorted(set(langs))
-    order = np.random.default_rng(seed).permutation(len(texts))
+    order = np.random.default_rng(seed).permutation(len(bits))
     block = 32
-    marks = np.concatenate(
-        [normalised(presence([texts[i] for i in order[at:min(at + block, landmarks)]])) for at in range(0, min(landmarks, len(texts)), block)])
+
+    def rows(which) -> np.ndarray:
+        return normalised(np.unpackbits(bits[which], axis=1).reshape(-1, len(ORDERS), BUCKETS).astype(bool))
+
+    marks = np.concatenate([rows(order[at:min(at + block, landmarks)]) for at in range(0, min(landmarks, len(bits)), block)])
     gram = (marks @ marks.T).astype("float64")
-    kernel = np.concatenate(
-        [normalised(presence(texts[i:i + block])) @ marks.T for i in range(0, len(texts), block)]).astype("float64")
+    kernel = np.concatenate([rows(slice(i, i + block)) @ marks.T for i in range(0, len(bits), block)]).astype("float64")
     # Sums over all rows are taken once, from a common origin; each language adds those over its own rows.
     origin = kernel.mean(axis=0)
     kernel -= origin
@@ -115,15 +122,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float, seed:
     for c, lang in enumerate(languages):
         own = kernel[members[lang]]
         # A language's rows weigh as much as all others together.
-        inside, outside = 0.5 / len(own), 0.5 / max(len(texts) - len(own), 1)
-        weight = inside * len(own) + outside * (len(texts) - len(own))
+        inside, outside = 0.5 / len(own), 0.5 / max(len(bits) - len(own), 1)
+        weight = inside * len(own) + outside * (len(bits) - len(own))
         own_sum, own_square = own.sum(axis=0), own.T @ own
         center = inside * own_sum + outside * (total - own_sum)
-        mean = inside * len(own) - outside * (len(texts) - len(own))
+        mean = inside * len(own) - outside * (len(bits) - len(own))
         # Weighted sums of (row - center)(row - center)' and (row - center)(target - mean).
         spread = inside * own_square + outside * (square - own_square) + (weight - 2) * np.outer(center, center)
         toward = inside * (1 - mean) * (own_sum - len(own) * center) - outside * (1 + mean) * (
-            total - own_sum - (len(texts) - len(own)) * center)
+            total - own_sum - (len(bits) - len(own)) * center)
         left = spread + ridge * gram / len(marks) + 1e-9 * np.eye(len(marks))
         coefficients[:, c] = np.linalg.solve(left, toward)
         bias[c] = mean - (center + origin) @ coefficients[:, c]
@@ -146,11 +153,25 @@ def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Mod
     limits = [(lang, min(1.0, (share + 6 * share**0.5 + 20) / n)) for lang, n in counts.items()]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below double"))
     sample = labelled.withColumn("pick", pick).join(wanted, "lang").where("pick < below").select("lang", "text", "pick")
+
+    def reduce(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, stop in slices(batch, 1 << 18):
+                part = batch.slice(start, stop - start)
+                for at in range(0, part.num_rows, 64):
+                    few = part.slice(at, 64)
+                    bits = pa.array([row.tobytes() for row in packed(few.column("text").to_pylist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([few.column("lang"), few.column("pick"), bits], names=["lang", "pick", "bits"])
+
+    # The driver gets bits of a fixed size per row, never texts.
     by_lang: dict[str, list] = {}
-    for row in sample.collect():
-        by_lang.setdefault(row["lang"], []).append((row["pick"], row["text"]))
-    rows = [(lang, text) for lang, found in sorted(by_lang.items()) for _, text in sorted(found)[:share]]
-    return fit([t for _, t in rows], [lang for lang, _ in rows], landmarks, ridge)
+    for row in sample.mapInArrow(reduce, "lang string, pick double, bits binary").collect():
+        by_lang.setdefault(row["lang"], []).append((row["pick"], bytes(row["bits"])))
+    rows = [(lang, bits) for lang, found in sorted(by_lang.items()) for _, bits in sorted(found)[:share]]
+    bits = np.frombuffer(b"".join(b for _, b in rows), dtype="uint8").reshape(len(rows), -1)
+    return fit(bits, [lang for lang, _ in rows], landmarks, ridge)
 
 
 def classify(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3, whole_rows: bool = False) -> DataFrame:
@@ -197,13 +218,20 @@ def predicted(docs: DataFrame, model: Model | None, whole_rows: bool = False) ->
 
 
 def identified_rows(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose language is unknown (null text, or no letter in it).
+    """``docs`` with all its columns, without the rows whose language is unknown (null text, or no letter in it); a null
+    ``lang`` becomes the predicted language.
 
-    With a model only ``und`` is rejected, and no text with a letter is: ``und`` as a label is not learned here. Where no
-    language can be learned, every text with a letter stays.
+    With a model only ``und`` is rejected, and no text with a letter is: ``und`` as a label is not learned here. A given
+    lang is kept, also where the prediction differs. Where no language can be learned, every text with a letter stays as it is.
     """
     model = train(docs.where(F.col("`lang`") != UNKNOWN), train_rows, landmarks, ridge)
     if model is None:
         return docs.where(F.col("`text`").rlike(LETTER))
     kept = predicted(docs, model, whole_rows=True).where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    kind = docs.schema["lang"].dataType
+
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        return (F.coalesce(own, F.col("lang_pred").cast(kind)) if name == "lang" else own).alias(name)
+
+    return kept.select(*[column(c) for c in docs.columns])

@@ -101,15 +101,24 @@ def test_pieces_are_those_of_the_library(spark, odd, documents):
     texts = ["".join(rng.choice(parts, int(rng.integers(0, 25)))) for _ in range(500)]
     df = odd.select("doc_id", "text").unionByName(documents.select("doc_id", "text")).unionByName(
         spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    given = {(r.doc_id, r.text) for r in df.collect()}
+    given = [(r.doc_id, r.text) for r in df.collect()]
     encoded = sentence_pieces.encode(df, outputs=("n_tokens", "ids", "decoded", "ids_sha256"))
     want = sorted((i or -1, sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for i, t in given)
     rows = encoded.collect()
-    assert sorted({(r.doc_id or -1, tuple(r.ids), r.decoded) for r in rows}) == [(i, tuple(ids), d) for i, ids, d in want]
+    assert sorted((r.doc_id or -1, tuple(r.ids), r.decoded) for r in rows) == [(i, tuple(ids), d) for i, ids, d in want]
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in rows)
     assert sorted((r.decoded for r in sentence_pieces.decode(encoded).collect())) == sorted(r.decoded for r in rows)
 
 
+def test_no_texts_and_small_slices(spark, nothing, documents, monkeypatch):
+    assert sentence_pieces.encode(nothing).count() == 0
+    outputs = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
+    whole = sorted(map(str, sentence_pieces.encode(documents, outputs=outputs).collect()))
+    monkeypatch.setattr(sentence_pieces, "TABLE_BYTES", 20_000)
+    monkeypatch.setattr(sentence_pieces, "slices", lambda batch: ((i, min(i + 3, batch.num_rows)) for i in range(0, batch.num_rows, 3)))
+    assert sorted(map(str, sentence_pieces.encode(documents, outputs=outputs).collect())) == whole
+
+
 def test_a_full_table_changes_nothing(monkeypatch):
     table = sentence_pieces.Chunks(sentence_pieces.default_model())
     texts = ["one two three", "two three four", "three  four", "z" * 2000]
@@ -223,6 +232,51 @@ def test_language(spark, odd, nothing):
     assert language_id.identified_rows(odd).columns == odd.columns
 
 
+def test_the_fit_is_a_plain_kernel_ridge_regression():
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list(a), int(rng.integers(2, 60)))) for a in ("abcde ", "cdefg ", "éßüab ") for _ in range(30)]
+    langs = [lang for lang in ("x", "y", "z") for _ in range(30)]
+    model = language_id.fit(language_id.packed(texts), langs, landmarks=20, ridge=1e-2)
+
+    def grams(text):  # the kernel by sets of Python integers
+        data, found = text.lower().encode(), []
+        for n in language_id.ORDERS:
+            places = set()
+            for i in range(len(data) - n + 1):
+                h = 0
+                for byte in data[i:i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ byte
+                places.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language_id.BITS))
+            found.append(places)
+        return found
+
+    def kernel(a, b):
+        return sum(len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) for x, y in zip(a, b, strict=True)) / len(language_id.ORDERS)
+
+    sets = [grams(t) for t in texts]
+    marks = [sets[i] for i in np.random.default_rng(7).permutation(len(texts))[:20]]
+    features = np.array([[kernel(s, m) for m in marks] for s in sets])
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    fresh = ["abc de", "gfe dc", "ßü éa", "", "zzz"]
+    rows = np.array([[kernel(grams(t), m) for m in marks] for t in fresh])
+    for c, lang in enumerate(("x", "y", "z")):
+        own = np.array([x == lang for x in langs])
+        target, weight = np.where(own, 1.0, -1.0), np.where(own, 0.5 / own.sum(), 0.5 / (~own).sum())
+        center, mean = weight @ features, weight @ target
+        x = features - center
+        w = np.linalg.solve((x * weight[:, None]).T @ x + 1e-2 * gram / 20 + 1e-9 * np.eye(20), (x * weight[:, None]).T @ (target - mean))
+        assert np.allclose(model.scores(fresh)[:, c], (rows - center) @ w + mean, atol=2e-3)
+
+
+def test_a_missing_language_is_filled(documents):
+    given = documents.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    rows = {r.doc_id: r.lang for r in language_id.identified_rows(given, train_rows=400, landmarks=100).collect()}
+    truth = {r.doc_id: r.lang for r in documents.collect() if r.doc_id in rows}
+    assert all(rows[i] == truth[i] for i in rows if i % 5) and None not in rows.values()
+    filled = [i for i in rows if i % 5 == 0]
+    assert len(filled) > 20 and np.mean([rows[i] == truth[i] for i in filled]) > 0.9
+
+
 @pytest.mark.parametrize("lang", [None, "und"])
 def test_without_a_language_to_learn_texts_with_letters_stay(odd, lang):
     bare = odd.withColumn("lang", F.lit(lang).cast("string"))
