@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuentaclara.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces
-from cuentaclara.llm.common import table, written
+from cuentaclara.llm.common import dropped, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or without a letter go, also where no language can be learned."""
+    """Documents whose language can be told, a missing lang filled in; those without text or without a letter go, also where no language can be learned."""
     return language_id.identified_rows(docs)
 
 
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "corpus-" + name.split()[0].lower())
+        if before is not None:  # the table of the stage before is read no more
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
