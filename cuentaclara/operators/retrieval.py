@@ -201,7 +201,7 @@ def lexical_topk(
         lambda t: F.struct(t.alias("term"), F.size(F.filter("_matched", lambda m: m == t)).alias("tf")),
     )
     docs = (
-        _parts(chunks.select("chunk_id", "tenant_id", tokens(F.col("chunk_text")).alias("_tokens")))
+        _parts(chunks.select("chunk_id", "tenant_id", tokens(F.coalesce("chunk_text", F.lit(""))).alias("_tokens")))
         .join(_for_parts(vocabulary), ["tenant_id", "_part"])
         .select("chunk_id", "tenant_id", F.size("_tokens").alias("_length"), matched.alias("_matched"))
         .select("chunk_id", "tenant_id", "_length", counted.alias("_hits"))

@@ -12,11 +12,12 @@ from cuentaclara import schemas
 from cuentaclara.functions import text
 from cuentaclara.functions.embedders import HashingEmbedder
 from cuentaclara.operators import (
-    audit, bronze, cdc, gold, grounding, logs, ocr, quality, repair, retrieval, search, security, silver,
+    audit, bronze, cdc, gold, grounding, ivf, logs, ocr, postings, quality, repair, retrieval, search, security, silver,
 )
 from cuentaclara.operators import operations as ops
 from cuentaclara.plans import oracle
 from cuentaclara.plans.domain import VECTOR_WIDTH, Domain, events_now, orders_now
+from cuentaclara.sources.tables import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1368,6 +1369,21 @@ def _(d):
     return retrieval.lexical_topk(d.chunks, d.questions).select("query_id", "tenant_id", "chunk_id", "lexical_score", "rank")
 
 
+@query("lexical_indexed", "SELECT query_id, tenant_id, chunk_id, lexical_score, rank FROM bm25 WHERE rank <= 10")
+def _(d):
+    # An index of other texts, with chunks that are no more and without some that are, brought up to date by what differs.
+    place = scratch_dir(d.spark, "postings")
+    d.chunks.select("chunk_id", "tenant_id", "chunk_text").write.parquet(f"{place}/chunks")
+    chunks = d.spark.read.parquet(f"{place}/chunks")
+    early = chunks.where("tenant_id <> 't_2'").select(
+        "chunk_id", "tenant_id", F.when(F.col("tenant_id") == "t_3", F.concat(F.lit("reau "), "chunk_text")).otherwise(F.col("chunk_text")).alias("chunk_text"))
+    gone = chunks.where("tenant_id = 't_1'").select(F.concat(F.lit("old_"), "chunk_id").alias("chunk_id"), "tenant_id", "chunk_text")
+    index = postings.Index(d.spark, f"{place}/index", parts=8)
+    postings.build(index, early.unionByName(gone))
+    postings.update(index, chunks, gone)
+    return postings.topk(index, d.questions).select("query_id", "tenant_id", "chunk_id", "lexical_score", "rank")
+
+
 @query("hybrid_rrf")
 def _(d):
     return retrieval.hybrid_topk(d.chunks, retrieval.latest_embeddings(d.embedding_log), d.questions, 10, depth=50).select("query_id", "tenant_id", "chunk_id", "rrf_score", "rank")
@@ -1407,6 +1423,45 @@ def _(d):
     return hits.select("query_id", "tenant_id", "chunk_id", "rank", "score").crossJoin(F.broadcast(measured))
 
 
+def ivf_report(d):
+    """Neighbours of the vectors whose vec_id is divisible by 100 among all vectors, by inverted lists; in one row how many of the
+    exact neighbours are among them, and which shares of all pairs were looked at by code and by vector. A vector is no
+    neighbour of itself."""
+    stored = d.source("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = stored.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    quantiser = ivf.train(stored, "chunk_id", "embedding")
+    index = ivf.index_rows(stored, "chunk_id", "embedding", quantiser)
+    hits = ivf.search(index, stored, asked, quantiser, 11, scope=None)
+    everyone = F.lit("all").alias("tenant_id")
+    exact = retrieval.semantic_topk(stored.select("*", everyone), asked.select("*", everyone), 11)
+    other = F.col("query_id") != F.col("chunk_id")
+    # A hit that ranks among the exact ones must have the exact score.
+    found = hits.where(other).select("query_id", "chunk_id", F.col("score").alias("found"))
+    recall = exact.where(other).join(found, ["query_id", "chunk_id"], "left").agg(
+        (F.count("found") / F.count(F.lit(1))).alias("recall"), F.bool_and(F.col("found").isNull() | (F.abs(F.col("found") - F.col("score")) < 2e-4)).alias("scores_exact"))
+    tried = ivf.candidates(index, asked, quantiser, id_col="chunk_id", query_id="query_id", vec_col="query_vec").agg(F.count(F.lit(1)).alias("tried"))
+    rows = stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("chunk_id") % 100 == 0).alias("queries"))
+    opened = ivf.opened_share(index, asked, quantiser, query_id="query_id", query_vec="query_vec")
+    one = [df.withColumn("one", F.lit(1)) for df in (recall, tried, rows, opened)]
+    measured = one[0].join(one[1], "one").join(one[2], "one").join(one[3], "one").select(
+        "queries", "recall", "scores_exact", "opened_share", (F.col("tried") / (F.col("rows") * F.col("queries"))).alias("scored_share"))
+    return hits, measured
+
+
+@query("semantic_ivf", """
+    SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, true AS recall_above_bound, true AS scored_below_bound, true AS scores_exact FROM embeddings""")
+def _(d):
+    # At least 90 of 100 neighbours found while at most 25 of 100 pairs are scored on their vectors.
+    return ivf_report(d)[1].select("queries", (F.col("recall") >= 0.9).alias("recall_above_bound"),
+                                   (F.col("scored_share") <= 0.25).alias("scored_below_bound"), "scores_exact")
+
+
+@query("semantic_ivf_hits")
+def _(d):
+    hits, measured = ivf_report(d)
+    return hits.crossJoin(F.broadcast(measured.drop("queries")))
+
+
 @query("embed_on_the_fly", """
     SELECT chunk_id, tenant_id, CAST(64 AS BIGINT) AS dimensions FROM chunks""")
 def _(d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,36 @@ from cuentaclara.operators.security import Caller, visible
 from cuentaclara.schemas import Topic
 
 
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder has been committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = tempfile.mkdtemp(prefix="cuentaclara-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a scratch table: computed once, and lost executors cost a re-read."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, *, merge_schema: bool = False) -> DataFrame:
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cuentaclara.operators.cdc import DELETE, fold_latest
+from cuentaclara.sources.tables import finished, subfolders
 from cuentaclara.streaming.ingest import REFRESH
 
 HELPERS = ("_op", "_source_ts_ms", "_tiebreak", "_deleted")
@@ -27,33 +28,22 @@ def _order(columns: Sequence[str]) -> list[str]:
     return [c for c in ("_source_ts_ms", "_tiebreak", "_op") if c in columns]
 
 
-def _folders(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-
-def finished(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def has_stream(spark: SparkSession, folder: str) -> bool:
     """Whether a file sink has committed anything to the folder."""
-    return "_spark_metadata" in _folders(spark, folder)
+    return "_spark_metadata" in subfolders(spark, folder)
 
 
 def _batches(spark: SparkSession, table: str) -> list[str]:
     """Finished change folders, relative to the table's changes."""
     found = []
-    for run in _folders(spark, f"{table}/changes"):
-        found += [f"{run}/{b}" for b in _folders(spark, f"{table}/changes/{run}") if finished(spark, f"{table}/changes/{run}/{b}")]
+    for run in subfolders(spark, f"{table}/changes"):
+        found += [f"{run}/{b}" for b in subfolders(spark, f"{table}/changes/{run}") if finished(spark, f"{table}/changes/{run}/{b}")]
     return sorted(found)
 
 
 def _snapshot(spark: SparkSession, table: str) -> tuple[int, set[str]]:
     """Number of the newest finished snapshot (-1: none) and the change folders it covers."""
-    numbers = [int(n.split("=")[1]) for n in _folders(spark, f"{table}/snapshots") if n.startswith("n=")]
+    numbers = [int(n.split("=")[1]) for n in subfolders(spark, f"{table}/snapshots") if n.startswith("n=")]
     for n in sorted(numbers, reverse=True):
         if finished(spark, f"{table}/snapshots/n={n}/covers"):
             return n, {r["folder"] for r in spark.read.parquet(f"{table}/snapshots/n={n}/covers").collect()}
