@@ -67,14 +67,29 @@ def one_line(message: Column, width: int = 250) -> Column:
     return F.left(F.regexp_replace(message, r"[\n\r\t]+", " "), F.lit(width))
 
 
+#: Fixed value: the Crockford base-32 alphabet in digit order.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
 def ulid_millis(ulid: Column) -> Column:
     """Epoch milliseconds in the first ten base-32 characters of a (prefixed) ULID; NULL if one is not of the alphabet."""
     body = F.regexp_replace(ulid, r"^[^_]*_", "")
     head = F.split(F.upper(F.left(body, F.lit(10))), "")
-    # Fixed value: the Crockford base-32 alphabet in digit order.
-    alphabet = F.lit("0123456789ABCDEFGHJKMNPQRSTVWXYZ")
+    alphabet = F.lit(CROCKFORD)
     return F.aggregate(
         head,
         F.lit(0).cast("bigint"),
         lambda acc, ch: acc * F.lit(32) + (F.nullif(F.position(ch, alphabet), F.lit(0)) - 1),
     )
+
+
+def ulid_head(millis: Column) -> Column:
+    """The ten characters that stand for a time in a ULID; the way back of ``ulid_millis``."""
+    digits = [F.substr(F.lit(CROCKFORD), ((millis / F.lit(32**i)).cast("bigint") % 32 + 1).cast("int"), F.lit(1)) for i in reversed(range(10))]
+    return F.concat(*digits)
+
+
+def after_millis(last_event_id: Column) -> Column:
+    """Time in the identifier of the last event seen; 0 where it is none (26 characters after the prefix)."""
+    body = F.regexp_replace(last_event_id, r"^[^_]*_", "")
+    return F.coalesce(F.when(F.length(body) == 26, ulid_millis(last_event_id)), F.lit(0).cast("bigint"))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuentaclara.functions import text
 from cuentaclara.functions.text import one_line
 from cuentaclara.operators import skew
 
@@ -582,6 +583,22 @@ def channel_replay_buffer(
     return newest
 
 
+def replay_after_event(
+    events: DataFrame, requests: DataFrame, as_of: Column, cap: int = BUFFER_CAP, ttl_seconds: int = 3600
+) -> DataFrame:
+    """What each returning client missed: held events of its channel strictly later than the time in ``last_event_id``.
+
+    ``requests`` has channel, client_id and last_event_id; an identifier that cannot be read gets all held events, a null one
+    none. At most ``cap`` rows per request, oldest first by ``position``.
+    """
+    asked = requests.where(F.col("last_event_id").isNotNull()).select(
+        "channel", "client_id", "last_event_id", text.after_millis(F.col("last_event_id")).alias("_after"))
+    held = channel_replay_buffer(events, as_of, cap, ttl_seconds).select("channel", "event_id", "created_at")
+    missed = held.join(asked, "channel").where(F.unix_millis(F.col("created_at").cast("timestamp")) > F.col("_after")).drop("_after")
+    place = Window.partitionBy("channel", "client_id", "last_event_id").orderBy("created_at", "event_id")
+    return missed.withColumn("position", F.row_number().over(place) - 1)
+
+
 def current_step(step_events: DataFrame) -> DataFrame:
     """Latest step per expense. Expects expense_id, event_id, step, created_at."""
     latest = F.max_by("step", F.struct("created_at", "event_id")).alias("step")

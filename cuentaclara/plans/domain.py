@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuentaclara.functions import text
 from cuentaclara.functions.embedders import HashingEmbedder
 
 #: "Now" for tables derived from orders and lineitem, and for those derived from events.
@@ -305,6 +306,15 @@ class Domain:
             "try_element_at(metadata, 'trace_id') AS trace_id",
         )
 
+    @cached_property
+    def replay_requests(self) -> DataFrame:
+        """Every seventh event is the last one that a client of its user channel saw; some clients send something else."""
+        seen = self.timeline.where("n % 7 = 0")
+        own = F.concat(F.lit("evt_"), text.ulid_head(F.unix_millis(F.col("created_at"))), F.lpad(F.col("n").cast("string"), 16, "0"))
+        return seen.select(
+            F.concat(F.lit("tenant:"), "tenant_id", F.lit(":user:u_"), "user_id").alias("channel"), F.concat(F.lit("client_"), "n").alias("client_id"),
+            F.when(F.col("n") % 21 == 0, F.lit("evt_broken")).otherwise(own).alias("last_event_id"))
+
     # --- runs and logs, from events -------------------------------------------------------
 
     @cached_property

@@ -959,6 +959,26 @@ def _(d):
     return ops.channel_replay_buffer(events, events_now(), ttl_seconds=48 * 3600).select("channel", "event_id", "created_at", "buffer_pos")
 
 
+#: The first ten characters after the prefix are digits of base 32.
+_ULID_MILLIS = " + ".join(f"(strpos('{text.CROCKFORD}', substr(last_event_id, {5 + i}, 1)) - 1) * {32 ** (9 - i)}" for i in range(10))
+_ULID_HEAD = " || ".join(f"substr('{text.CROCKFORD}', CAST((epoch_us(created_at) // 1000 // {32 ** i}) % 32 AS INTEGER) + 1, 1)" for i in reversed(range(10)))
+
+
+@query("replay_after_event", f"""
+    WITH requests AS (
+      SELECT 'tenant:' || tenant_id || ':user:u_' || user_id AS channel, 'client_' || n AS client_id,
+             CASE WHEN n % 21 = 0 THEN 'evt_broken' ELSE 'evt_' || {_ULID_HEAD} || lpad(CAST(n AS VARCHAR), 16, '0') END AS last_event_id FROM timeline WHERE n % 7 = 0),
+    asked AS (SELECT *, CASE WHEN length(last_event_id) = 30 THEN {_ULID_MILLIS} ELSE 0 END AS after FROM requests),
+    fan AS (SELECT event_id, created_at, 'tenant:' || tenant_id || ':user:u_' || user_id AS channel FROM timeline),
+    held AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY created_at DESC, event_id DESC) AS r, max(created_at) OVER (PARTITION BY channel) AS last FROM fan)
+    SELECT h.channel, client_id, last_event_id, event_id, created_at,
+           row_number() OVER (PARTITION BY h.channel, client_id, last_event_id ORDER BY created_at, event_id) - 1 AS position
+    FROM held h JOIN asked USING (channel) WHERE r <= 50 AND last >= :events_now - INTERVAL 240 HOUR AND epoch_us(created_at) // 1000 > after""")
+def _(d):
+    events = d.timeline.withColumn("user_id", F.concat(F.lit("u_"), "user_id"))
+    return ops.replay_after_event(events, d.replay_requests, events_now(), ttl_seconds=240 * 3600)
+
+
 @query("current_step", """
     SELECT expense_id, event_type AS step FROM (SELECT *, row_number() OVER (PARTITION BY expense_id ORDER BY created_at DESC, event_id DESC) AS rn FROM timeline) t
     WHERE rn = 1""")
