@@ -31,3 +31,13 @@ class HashingEmbedder:
             slots[h % self.width] += 1.0 if (h >> 16) & 1 else -1.0
         length = math.sqrt(sum(x * x for x in slots))
         return [x / length for x in slots] if length else slots
+
+
+class CountingEmbedder:
+    """How often each of a few characters occurs: values that any engine can repeat."""
+
+    def __init__(self, characters: str = "aeiorst 0.") -> None:
+        self.characters = characters
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float((t or "").count(c)) for c in self.characters] for t in texts]

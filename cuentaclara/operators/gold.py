@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuentaclara import schemas
 from cuentaclara.operators import skew
+from cuentaclara.sources.tables import bucketed, replace_keys, staged
 
 
 def hitl_rollup(hitl: DataFrame) -> DataFrame:
@@ -74,6 +75,21 @@ def expense_audit(
     )
 
 
+def refresh_audit(
+    path: str, dirty: DataFrame, expenses: DataFrame, ocr: DataFrame, hitl: DataFrame, events: DataFrame
+) -> DataFrame:
+    """Replace the audit rows of the expenses in ``dirty`` (expense_id) and return the new ones, as they were written.
+
+    The other tables may hold more than that; they are cut to the dirty expenses before they are joined, and only the
+    touched partitions of the table are written. An expense that is no longer approved loses its row.
+    """
+    keys = staged(dirty.select("expense_id").where("expense_id IS NOT NULL").distinct(), "dirty-expenses")
+    parts = [df.join(keys, "expense_id", "left_semi") for df in (expenses, ocr, hitl, events)]
+    fresh = staged(bucketed(expense_audit(*parts), "expense_id"), "fresh-audit")
+    replace_keys(fresh, keys, path, "expense_id")
+    return fresh
+
+
 def audit_by_approval(expenses: DataFrame) -> DataFrame:
     """Older promotion rule: approved rows keyed by expense, the latest approval wins."""
     from cuentaclara.operators.cdc import apply_changes

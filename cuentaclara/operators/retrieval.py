@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from cuentaclara.functions import vectors
 from cuentaclara.operators.cdc import fold_latest
 from cuentaclara.operators.skew import top_per_key
+from cuentaclara.sources.tables import bucketed, has_rows_folder, read_table, replace_keys, staged
 
 DEFAULT_K = 10
 #: Scores below the floor are noise; damping of reciprocal rank fusion; BM25 form.
@@ -129,6 +130,41 @@ def changed_chunks(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     return joined.where(~F.col("text_hash").eqNullSafe(F.col("_hash"))).drop("_hash")
 
 
+def sync_embeddings(
+    chunks: DataFrame, path: str, embedder: Embedder, now: Column, *, within: DataFrame | None = None
+) -> dict[str, int]:
+    """Bring an embedding table in step with the chunks; returns how many were embedded and how many removed.
+
+    The table keeps the hash of the text beside each vector. New and edited chunks are embedded, vectors of chunks that
+    are no more go, and only the partitions they touch are written; a second run does nothing. ``within`` (chunk_id)
+    says which chunks can have changed; without it the whole table is compared, hashes only.
+    """
+    spark = chunks.sparkSession
+    if has_rows_folder(spark, path):
+        known = read_table(spark, path).select("chunk_id", "tenant_id", "text_hash")
+    else:
+        known = spark.createDataFrame([], "chunk_id string, tenant_id string, text_hash bigint")
+    if within is not None:
+        chunks, known = (df.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi") for df in (chunks, known))
+    changed = changed_chunks(chunks.select("chunk_id", "tenant_id", "chunk_text"), known)
+    fresh = staged(embed(changed, embedder).select(
+        "chunk_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), now.alias("updated_at"), "text_hash"), "embeddings")
+    gone = staged(known.join(chunks.select("chunk_id", "tenant_id"), ["chunk_id", "tenant_id"], "left_anti").select("chunk_id"), "embeddings-gone")
+    done = {"embedded": fresh.count(), "removed": gone.count()}
+    if any(done.values()):
+        replace_keys(bucketed(fresh, "chunk_id"), fresh.select("chunk_id").unionByName(gone), path, "chunk_id")
+    return done
+
+
+def revectorize_table(chunks: DataFrame, path: str, selected: Column, embedder: Embedder, now: Column) -> int:
+    """Embed the selected chunks anew, whatever their text was, and write only the partitions they touch."""
+    target = chunks.where(selected).select("chunk_id", "tenant_id", "chunk_text", text_hash(F.col("chunk_text")).alias("text_hash"))
+    fresh = staged(embed(target, embedder).select(
+        "chunk_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), now.alias("updated_at"), "text_hash"), "embeddings")
+    replace_keys(bucketed(fresh, "chunk_id"), fresh, path, "chunk_id")
+    return fresh.count()
+
+
 # --- search -------------------------------------------------------------------------------
 
 

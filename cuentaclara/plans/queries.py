@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuentaclara import schemas
 from cuentaclara.functions import text
-from cuentaclara.functions.embedders import HashingEmbedder
+from cuentaclara.functions.embedders import CountingEmbedder
 from cuentaclara.operators import (
     audit, bronze, cdc, gold, grounding, ivf, logs, ocr, postings, quality, repair, retrieval, search, security, silver,
 )
 from cuentaclara.operators import operations as ops
 from cuentaclara.plans import oracle
-from cuentaclara.plans.domain import VECTOR_WIDTH, Domain, events_now, orders_now
+from cuentaclara.plans.domain import Domain, events_now, orders_now
+from cuentaclara.sources import tables
 from cuentaclara.sources.tables import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,12 +282,24 @@ def _(d):
 
 
 @query("changed_key_refresh", """
-    SELECT expense_id, max(source_ts_ms) > 1706000000000 AS refreshed FROM bronze_expenses GROUP BY expense_id""")
-def _(d):
-    rows = bronze_expense_rows(d)
-    changed = cdc.rows_changed_since(rows, ["expense_id"], 1706000000000)
-    published = rows.groupBy("expense_id").agg(F.lit(False).alias("refreshed"))
-    return cdc.refresh_keys(published, published.withColumn("refreshed", F.lit(True)), changed, ["expense_id"])
+    SELECT tenant_id, expense_id, user_id, CAST(final_amount AS DOUBLE) AS final_amount, final_vendor, CAST(final_date AS VARCHAR) AS final_date, final_currency,
+           category, approved_at, had_hitl, hitl_decision, trace_id FROM audit""")
+def _(d):
+    # An audit table of an earlier state: other amounts, other tenants, expenses that are no more, others that are not yet.
+    hours = F.pmod(F.xxhash64("expense_id"), F.lit(6))
+    earlier = d.expenses.where(hours != 0).withColumns({
+        "final_amount": F.when(hours == 1, F.lit(1).cast("decimal(18,2)")).otherwise(F.col("final_amount")),
+        "tenant_id": F.when(hours == 2, F.lit("t_before")).otherwise(F.col("tenant_id")),
+        "status": F.when(hours == 3, F.lit("approved")).otherwise(F.col("status"))})
+    ghosts = d.expenses.where(hours == 4).withColumns({"expense_id": F.concat(F.lit("gone_"), "expense_id"), "status": F.lit("approved")})
+    path = scratch_dir(d.spark, "audit")
+    tables.overwrite_partitioned(tables.bucketed(
+        gold.expense_audit(earlier.unionByName(ghosts), d.ocr, d.hitl, d.timeline), "expense_id"), path, ("tenant_id", "bucket"))
+    dirty = d.expenses.where(hours <= 3).select("expense_id").unionByName(ghosts.select("expense_id"))
+    gold.refresh_audit(path, dirty, d.expenses, d.ocr, d.hitl, d.timeline)
+    return tables.read_table(d.spark, path).select(
+        F.col("tenant_id").cast("string").alias("tenant_id"), "expense_id", "user_id", "final_amount", "final_vendor", "final_date", "final_currency", "category",
+        "approved_at", "had_hitl", "hitl_decision", "trace_id")
 
 
 # --- gold ---------------------------------------------------------------------------------
@@ -1482,19 +1495,48 @@ def _(d):
     return hits.crossJoin(F.broadcast(measured.drop("queries")))
 
 
-@query("embed_on_the_fly", """
-    SELECT chunk_id, tenant_id, CAST(64 AS BIGINT) AS dimensions FROM chunks""")
+#: SQL for the first and the last value of ``CountingEmbedder``.
+_COUNT_A, _COUNT_DOT = (f"CAST(length(chunk_text) - length(replace(chunk_text, '{c}', '')) AS DOUBLE)" for c in "a.")
+
+
+def first_and_last() -> list[Column]:
+    return [F.col("embedding")[0].cast("double").alias("first_value"), F.element_at("embedding", -1).cast("double").alias("last_value")]
+
+
+@query("embed_on_the_fly", f"""
+    SELECT chunk_id, tenant_id, CASE WHEN e.chunk_id IS NULL THEN CAST(10 AS BIGINT) ELSE CAST(len(e.embedding) AS BIGINT) END AS dimensions,
+           CASE WHEN e.chunk_id IS NULL THEN {_COUNT_A} ELSE CAST(e.embedding[1] AS DOUBLE) END AS first_value,
+           CASE WHEN e.chunk_id IS NULL THEN {_COUNT_DOT} ELSE CAST(e.embedding[-1] AS DOUBLE) END AS last_value
+    FROM chunks LEFT JOIN latest_emb e USING (chunk_id, tenant_id)""")
 def _(d):
-    full = retrieval.complete_embeddings(d.chunks, d.embedding_log, HashingEmbedder(VECTOR_WIDTH))
-    return full.select("chunk_id", "tenant_id", F.size("embedding").alias("dimensions"))
+    full = retrieval.complete_embeddings(d.chunks, d.embedding_log, CountingEmbedder())
+    return full.select("chunk_id", "tenant_id", F.size("embedding").alias("dimensions"), *first_and_last())
 
 
-@query("revectorize", """
-    SELECT chunk_id, tenant_id, updated_at FROM embedding_log WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE tenant_id = 't_0')
-    UNION ALL SELECT chunk_id, tenant_id, :events_now FROM chunks WHERE tenant_id = 't_0'""")
+@query("revectorize", f"""
+    SELECT chunk_id, tenant_id, updated_at, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[-1] AS DOUBLE) AS last_value
+    FROM embedding_log WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE tenant_id = 't_0')
+    UNION ALL SELECT chunk_id, tenant_id, :events_now, {_COUNT_A}, {_COUNT_DOT} FROM chunks WHERE tenant_id = 't_0'""")
 def _(d):
-    table = retrieval.revectorize(d.chunks, d.embedding_log, F.col("tenant_id") == "t_0", HashingEmbedder(VECTOR_WIDTH), events_now())
-    return table.select("chunk_id", "tenant_id", "updated_at")
+    table = retrieval.revectorize(d.chunks, d.embedding_log, F.col("tenant_id") == "t_0", CountingEmbedder(), events_now())
+    return table.select("chunk_id", "tenant_id", "updated_at", *first_and_last())
+
+
+@query("embedding_sync", f"""
+    SELECT chunk_id, tenant_id, CASE WHEN tenant_id IN ('t_2', 't_3') THEN :events_now ELSE :orders_now END AS updated_at, {_COUNT_A} AS first_value, {_COUNT_DOT} AS last_value
+    FROM chunks""")
+def _(d):
+    # One tenant is new, one was edited, some chunks are gone; the others keep vector and time.
+    place = scratch_dir(d.spark, "embeddings")
+    d.chunks.select("chunk_id", "tenant_id", "chunk_text").write.parquet(f"{place}/chunks")
+    chunks = d.spark.read.parquet(f"{place}/chunks")
+    edited = F.when(F.col("tenant_id") == "t_3", F.concat("chunk_text", F.lit(" before"))).otherwise(F.col("chunk_text"))
+    gone = chunks.where("tenant_id = 't_1'").withColumn("chunk_id", F.concat(F.lit("gone_"), "chunk_id"))
+    earlier = chunks.where("tenant_id <> 't_2'").withColumn("chunk_text", edited).unionByName(gone)
+    retrieval.sync_embeddings(earlier, f"{place}/table", CountingEmbedder(), orders_now())
+    retrieval.sync_embeddings(chunks, f"{place}/table", CountingEmbedder(), events_now())
+    return tables.read_table(d.spark, f"{place}/table").select(
+        "chunk_id", F.col("tenant_id").cast("string").alias("tenant_id"), "updated_at", *first_and_last())
 
 
 @query("changed_chunks", "SELECT chunk_id, tenant_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM embedding_log) OR tenant_id = 't_3'")

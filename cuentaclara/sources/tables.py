@@ -14,6 +14,10 @@ from cuentaclara.operators.security import Caller, visible
 from cuentaclara.schemas import Topic
 
 
+#: Second level of tables by tenant: a refresh of few keys writes few files also of a large tenant.
+BUCKETS = 16
+
+
 def subfolders(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, none where it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -100,9 +104,50 @@ def overwrite_touched_partitions(df: DataFrame, path: str, by: Sequence[str] = (
     )
 
 
+def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """With the bucket of a key, the second level of tables of which only touched partitions are written."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def replace_keys(fresh: DataFrame, dirty: DataFrame, path: str, key: str, by: Sequence[str] = ("tenant_id", "bucket")) -> None:
+    """All rows of the keys in ``dirty`` give way to ``fresh``; only partitions that had or get such rows are written.
+
+    ``fresh`` has the columns of the table, and its keys are in ``dirty``; the columns of ``by`` are never null. A key may move
+    between partitions; a partition that loses its last row is removed. What is written is computed before anything is
+    overwritten, so the job can be run again after a failure with the same result.
+    """
+    spark = fresh.sparkSession
+    new, keys = staged(fresh, "replace-new"), staged(dirty.select(key).distinct(), "replace-keys")
+    if not has_rows_folder(spark, path):
+        _balanced(new, by).write.mode("overwrite").partitionBy(*by).parquet(path)
+        return
+    current = read_table(spark, path)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("_folder")
+    placed = current.select(key, *by, folder).join(keys, key, "left_semi").select(*by, "_folder").distinct()
+    old = staged(placed, "replace-places")
+    # The comparison lets Spark prune partitions by the join.
+    touched = staged(old.select(*by).unionByName(new.select(*by)).distinct(), "replace-touched").where(F.col(by[-1]) >= 0)
+    kept = current.join(touched, list(by), "left_semi").join(keys, key, "left_anti")
+    rows = staged(kept.select(*new.columns).unionByName(new), "replace-rows")
+    overwrite_touched_partitions(rows, path, by)
+    for row in old.join(rows.select(*by).distinct(), list(by), "left_anti").select("_folder").distinct().toLocalIterator():
+        remove_folder(spark, row["_folder"])
+
+
+def has_rows_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a partitioned table has a partition."""
+    return any("=" in name for name in subfolders(spark, path))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_embeddings(df: DataFrame, path: str) -> None:
-    """Append (chunk_id, tenant_id, embedding, updated_at); readers take the newest per chunk."""
-    columns = df.select("chunk_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), "updated_at")
+    """Append (chunk_id, tenant_id, embedding, updated_at), with text_hash if there is one; readers take the newest per chunk."""
+    known = ["text_hash"] if "text_hash" in df.columns else []
+    columns = df.select("chunk_id", "tenant_id", F.col("embedding").cast("array<float>").alias("embedding"), "updated_at", *known)
     _balanced(columns, ["tenant_id"]).write.mode("append").partitionBy("tenant_id").parquet(path)
 
 

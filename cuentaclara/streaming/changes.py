@@ -81,22 +81,43 @@ def start_apply_changes(
     )
 
 
-def _state(spark: SparkSession, table: str, key: str) -> tuple[DataFrame | None, int, list[str]]:
+def folders(spark: SparkSession, table: str) -> set[str]:
+    """Names of all finished change folders."""
+    return set(_batches(spark, table))
+
+
+def rows_of(spark: SparkSession, table: str, names: Sequence[str]) -> DataFrame | None:
+    """The changes of some folders. They are named one by one, so their names do not become columns."""
+    paths = [f"{table}/changes/{n}" for n in sorted(names)]
+    return spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+
+
+def versions(spark: SparkSession, table: str) -> DataFrame | None:
+    """Every stored row: the newest snapshot and the changes it does not cover."""
+    return _versions(spark, table)[0]
+
+
+def _versions(spark: SparkSession, table: str) -> tuple[DataFrame | None, int, list[str]]:
     number, covered = _snapshot(spark, table)
     batches = _batches(spark, table)
     paths = [f"{table}/changes/{b}" for b in batches if b not in covered]
     if number >= 0:
         paths.append(f"{table}/snapshots/n={number}/rows")
-    if not paths:
+    return (spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None), number, batches
+
+
+def _state(spark: SparkSession, table: str, key: str, only: DataFrame | None = None) -> tuple[DataFrame | None, int, list[str]]:
+    rows, number, batches = _versions(spark, table)
+    if rows is None:
         return None, number, batches
-    # The folders are named one by one, so their names do not become columns.
-    rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+    if only is not None:
+        rows = rows.join(only.select(key), key, "left_semi")
     return fold_latest(rows, [key], _order(rows.columns)), number, batches
 
 
-def current(spark: SparkSession, table: str, key: str, schema: T.StructType, *, deletes: bool = True) -> DataFrame:
-    """The visible state: one row per live key, helper columns removed."""
-    state, _, _ = _state(spark, table, key)
+def current(spark: SparkSession, table: str, key: str, schema: T.StructType, *, deletes: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """The visible state: one row per live key, helper columns removed. With ``only`` just its keys are folded."""
+    state, _, _ = _state(spark, table, key, only)
     if state is None:
         return spark.createDataFrame([], schema)
     if deletes:
