@@ -46,6 +46,12 @@ def decode(raw: DataFrame, topic: Topic) -> DataFrame:
     return raw.withColumn("doc", F.explode(_parsed(topic, lambda d: ~_is_malformed(d, topic))))
 
 
+def decode_all(raw: DataFrame, topic: Topic) -> DataFrame:
+    """Every message but tombstones with its payload in ``doc``, and whether it is ``malformed``: one parse for both tables."""
+    both = raw.withColumn("doc", F.explode(_parsed(topic, lambda d: F.lit(True))))
+    return both.withColumn("malformed", _is_malformed(F.col("doc"), topic))
+
+
 def field_names(raw: Column) -> Column:
     """Normalise conflict lists: plain names, ``{"field": ...}`` objects, or the ``_0`` map form."""
     listed = F.from_json(raw, "array<string>")
@@ -71,6 +77,11 @@ def _typed(name: str, topic: Topic) -> Column:
 
 def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None) -> DataFrame:
     """Flat bronze rows. Text that does not fit its type becomes NULL; it never fails the job."""
+    return bronze_columns(decode(raw, topic), topic, ingested_at)
+
+
+def bronze_columns(decoded: DataFrame, topic: Topic, ingested_at: Column | None = None) -> DataFrame:
+    """Bronze rows from messages whose payload is in ``doc`` already."""
     helper_only = {"mime_type"} | ({"created_at"} - set(topic.timestamps))
     payload = [_typed(c, topic) for c in topic.columns if c not in helper_only]
     doc = F.col("doc")
@@ -83,12 +94,11 @@ def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None)
     extra += [
         F.col(source).alias(target)
         for source, target in _MESSAGE_METADATA.items()
-        if source in raw.columns
+        if source in decoded.columns
     ]
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     return (
-        decode(raw, topic)
-        .select(
+        decoded.select(
             *payload,
             *extra,
             doc["__op"].alias("__op"),
@@ -102,14 +112,19 @@ def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None)
 
 def dead_letters(raw: DataFrame, topic: Topic, received_at: Column | None = None) -> DataFrame:
     """Messages that could not be decoded, with enough context to replay them by hand."""
+    bad = raw.withColumn("doc", F.explode(_parsed(topic, lambda d: _is_malformed(d, topic))))
+    return dead_letter_columns(bad, topic, received_at)
+
+
+def dead_letter_columns(decoded: DataFrame, topic: Topic, received_at: Column | None = None) -> DataFrame:
+    """Dead letters from malformed messages whose payload is in ``doc`` already."""
 
     def meta(name: str, cast: str) -> Column:
-        return (F.col(name) if name in raw.columns else F.lit(None)).cast(cast)
+        return (F.col(name) if name in decoded.columns else F.lit(None)).cast(cast)
 
-    origin = F.col("topic") if "topic" in raw.columns else F.lit(topic.name)
+    origin = F.col("topic") if "topic" in decoded.columns else F.lit(topic.name)
     return (
-        raw.withColumn("doc", F.explode(_parsed(topic, lambda d: _is_malformed(d, topic))))
-        .select(
+        decoded.select(
             origin.alias("topic_original"),
             meta("partition", "int").alias("partition"),
             meta("offset", "bigint").alias("offset"),

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from cuentaclara.operators import quality
 from cuentaclara.operators.cdc import DELETE, fold_latest
 from cuentaclara.sources.tables import finished, subfolders
 from cuentaclara.streaming.ingest import REFRESH
 
+EXPECTED = "run_id string, batch_id bigint, expectation string, failed bigint, total bigint"
 HELPERS = ("_op", "_source_ts_ms", "_tiebreak", "_deleted")
 
 
@@ -29,8 +31,8 @@ def _order(columns: Sequence[str]) -> list[str]:
 
 
 def has_stream(spark: SparkSession, folder: str) -> bool:
-    """Whether a file sink has committed anything to the folder."""
-    return "_spark_metadata" in subfolders(spark, folder)
+    """Whether a stream has written anything to the folder."""
+    return any(n == "_spark_metadata" or n.startswith("batch=") for n in subfolders(spark, folder))
 
 
 def _batches(spark: SparkSession, table: str) -> list[str]:
@@ -65,15 +67,28 @@ def start_apply_changes(
     *,
     rules: Callable[[DataFrame], DataFrame] | None = None,
     trigger: dict | None = None,
+    expectations: quality.Rules | None = None,
 ) -> StreamingQuery:
-    """Keep ``table`` in step with a bronze stream. ``rules`` may drop invalid rows."""
+    """Keep ``table`` in step with a bronze stream. ``rules`` may drop invalid rows.
+
+    Violations of ``expectations`` are counted while a micro-batch is written, before rows are dropped, and kept beside
+    its changes: ``expectation_counts`` reads them. A batch that is run again replaces its counts.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = clean(batch)
+        seen = Observation() if expectations else None
+        if seen is not None:
+            rows = quality.warn(rows, expectations, seen)
         if rules is not None:
             rows = rules(rows)
-        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         write_changes(rows, key, table, stream, batch_id)
+        if seen is not None:
+            counts = seen.get
+            found = [(stream, batch_id, rule, counts[rule], counts["total_rows"]) for rule in expectations]
+            spark.createDataFrame(found, EXPECTED).coalesce(1).write.mode("overwrite").parquet(f"{table}/expectations/run={stream}/batch={batch_id}")
 
     return (
         source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -81,6 +96,14 @@ def start_apply_changes(
     )
 
 
+def expectation_counts(spark: SparkSession, table: str, name: str) -> DataFrame:
+    """(table_name, run_id, batch_id, expectation, failed, total): one row per rule and micro-batch."""
+    root = f"{table}/expectations"
+    paths = [f"{root}/{run}/{b}" for run in subfolders(spark, root) for b in subfolders(spark, f"{root}/{run}") if finished(spark, f"{root}/{run}/{b}")]
+    rows = spark.read.schema(EXPECTED).parquet(*paths) if paths else spark.createDataFrame([], EXPECTED)
+    return rows.select(F.lit(name).alias("table_name"), "run_id", "batch_id", "expectation", "failed", "total")
+
+
 def folders(spark: SparkSession, table: str) -> set[str]:
     """Names of all finished change folders."""
     return set(_batches(spark, table))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cuentaclara.operators.bronze import bronze_rows, dead_letters
+from cuentaclara.operators.bronze import bronze_columns, bronze_rows, dead_letter_columns, dead_letters, decode_all
 from cuentaclara.schemas import Topic
-from cuentaclara.sources.tables import hourly_partitions
+from cuentaclara.sources.tables import finished, hourly_partitions
 
 #: Trigger settings by name: bronze runs continuously, OCR files every half minute.
 CONTINUOUS = {"processingTime": "5 seconds"}
@@ -36,6 +38,36 @@ def start_dead_letters(raw: DataFrame, topic: Topic, path: str, checkpoint: str,
     )
 
 
+def start_topic(
+    raw: DataFrame, topic: Topic, bronze: str, dead: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Bronze rows and dead letters from one read and one parse of a topic.
+
+    Each micro-batch goes to a folder of its own in both tables, named after stream and batch. A batch that is run again
+    after a failure leaves a finished folder as it is and writes the one that is missing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        decoded = decode_all(batch, topic).persist(StorageLevel.DISK_ONLY)
+        try:
+            write_once(bronze_columns(decoded.where(~F.col("malformed")), topic), f"{bronze}/batch={run}-{batch_id}")
+            write_once(dead_letter_columns(decoded.where("malformed"), topic), f"{dead}/batch={run}-{batch_id}")
+        finally:
+            decoded.unpersist()
+
+    return (
+        raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or CONTINUOUS)).queryName(f"topic_{topic.name}").start()
+    )
+
+
+def write_once(df: DataFrame, folder: str) -> None:
+    """Write a folder unless a finished write is there already."""
+    if not finished(df.sparkSession, folder):
+        df.write.mode("overwrite").parquet(folder)
+
+
 def start_backup(messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Hourly partitioned copy of raw messages, by message time."""
     return (

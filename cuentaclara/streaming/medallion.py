@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuentaclara.operators import gold, retrieval, silver
+from cuentaclara.operators import gold, quality, retrieval, silver
 from cuentaclara.operators.bronze import bronze_rows
 from cuentaclara.schemas import TOPICS
 from cuentaclara.sources import feeds, tables
 from cuentaclara.streaming import changes
-from cuentaclara.streaming.ingest import DRAIN, start_bronze, start_dead_letters
+from cuentaclara.streaming.ingest import DRAIN, start_topic
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,18 @@ class Lake:
         return f"{self.root}/_checkpoints/{name}"
 
 
+#: What is counted per micro-batch. A delete needs no valid status, so it does not violate that rule.
+EXPECTATIONS = {
+    "expenses": quality.EXPENSE_WARN | {n: f"_op = 'd' OR ({p})" for n, p in quality.EXPENSE_DROP.items()},
+    "ocr_extractions": quality.OCR_WARN,
+}
+
+
+def expectation_counts(spark: SparkSession, lake: Lake) -> DataFrame:
+    """Violations per table, rule and micro-batch, over all silver tables with expectations."""
+    return reduce(DataFrame.unionByName, [changes.expectation_counts(spark, lake.silver(name), name) for name in EXPECTATIONS])
+
+
 def _rules(topic: str):
     if topic == "expenses":
         return silver.valid_changes
@@ -53,15 +65,11 @@ def _rules(topic: str):
 
 
 def ingest(spark: SparkSession, lake: Lake, sources: dict[str, DataFrame], trigger: dict | None = None) -> list:
-    """Start bronze and dead-letter streams for each topic's message source."""
-    started = []
-    for name, raw in sources.items():
-        topic = TOPICS[name]
-        started.append(start_bronze(raw, topic, lake.bronze(name), lake.checkpoint(f"bronze_{name}"), trigger))
-        started.append(
-            start_dead_letters(raw, topic, lake.dead_letters(name), lake.checkpoint(f"dlq_{name}"), trigger)
-        )
-    return started
+    """Start one stream per topic, which fills its bronze table and its dead letters."""
+    return [
+        start_topic(raw, TOPICS[name], lake.bronze(name), lake.dead_letters(name), lake.checkpoint(f"topic_{name}"), trigger)
+        for name, raw in sources.items()
+    ]
 
 
 def refresh_silver(spark: SparkSession, lake: Lake, topics: list[str]) -> None:
@@ -76,7 +84,7 @@ def refresh_silver(spark: SparkSession, lake: Lake, topics: list[str]) -> None:
         source = feeds.bronze_stream(spark, lake.bronze(name), schema)
         running.append(changes.start_apply_changes(
             source, clean, TOPICS[name].key, lake.silver(name), lake.checkpoint(f"silver_{name}"),
-            rules=_rules(name), trigger=DRAIN,
+            rules=_rules(name), trigger=DRAIN, expectations=EXPECTATIONS.get(name),
         ))
     for query in running:
         query.awaitTermination()

@@ -174,3 +174,69 @@ def test_partitioned_files_are_few(spark, domain, tmp_path):
     many = domain.expenses.select("expense_id", "tenant_id").repartition(16)
     tables.overwrite_partitioned(many, f"{tmp_path}/t")
     assert len(glob.glob(f"{tmp_path}/t/tenant_id=*/*.parquet")) == 5  # not 16 tasks x 5 tenants
+
+
+def test_one_read_per_topic_survives_a_crash_between_its_tables(spark, domain, tmp_path, monkeypatch):
+    lake = medallion.Lake(f"{tmp_path}/lake")
+    put_messages(domain.expense_messages, f"{tmp_path}/inbox", 3)
+
+    def drain():
+        source = feeds.messages_from_files(spark, f"{tmp_path}/inbox", max_files=1)
+        started = medallion.ingest(spark, lake, {"expenses": source}, ingest.DRAIN)
+        assert len(started) == 1
+        started[0].awaitTermination()
+
+    real, calls = ingest.write_once, []
+
+    def dies(df, folder):
+        calls.append(folder)
+        if len(calls) == 4:  # the second batch: bronze is there, its dead letters are not
+            raise RuntimeError("lost")
+        real(df, folder)
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "write_once", dies)
+        with pytest.raises(Exception, match="lost"):
+            drain()
+    assert len(calls) == 4 and calls[2].startswith(lake.bronze("expenses"))
+    drain()
+    want = bronze.bronze_rows(domain.expense_messages, schemas.EXPENSES)
+    columns = ["expense_id", "amount", "status", "_kafka_offset", "__op"]
+    assert rows_of(spark.read.parquet(lake.bronze("expenses")).select(*columns)) == rows_of(want.select(*columns))
+    dead = bronze.dead_letters(domain.expense_messages, schemas.EXPENSES)
+    columns = ["topic_original", "partition", "offset", "payload_raw", "error_message"]
+    assert rows_of(spark.read.parquet(lake.dead_letters("expenses")).select(*columns)) == rows_of(dead.select(*columns))
+
+
+def test_expectations_are_counted_per_batch_and_not_doubled_by_a_retry(spark, domain, tmp_path):
+    lake = medallion.Lake(f"{tmp_path}/lake")
+
+    def send(rows, number):
+        df = spark.createDataFrame(rows, "expense_id string, tenant_id string, amount double, status string, op string")
+        put_messages(domain.as_messages(df.drop("op"), "expenses", "'u'", f"{number}L", "1L") if number < 3 else domain.as_messages(df.drop("op"), "expenses", "'d'", "3L", "1L"),
+                     f"{tmp_path}/in", 1)
+        source = feeds.messages_from_files(spark, f"{tmp_path}/in")
+        for q in medallion.ingest(spark, lake, {"expenses": source}, ingest.DRAIN):
+            q.awaitTermination()
+        medallion.refresh_silver(spark, lake, ["expenses"])
+
+    def counts():
+        rows = medallion.expectation_counts(spark, lake).groupBy("expectation").agg(F.sum("failed").alias("f"), F.sum("total").alias("t"), F.count("*").alias("n")).collect()
+        return {r.expectation: (r.f, r.t, r.n) for r in rows}
+
+    send([("e1", "t", 5.0, "approved", ""), ("e2", "t", -1.0, "approved", ""), ("e3", "t", 0.0, "bogus", ""), ("e4", "t", 2e9, None, "")], 1)
+    assert counts() == {"valid_amount": (3, 4, 1), "valid_tenant": (0, 4, 1), "valid_status": (2, 4, 1)}
+    assert {r.expense_id for r in medallion.silver_table(spark, lake, "expenses").collect()} == {"e1", "e2"}
+    send([("e5", "t", -3.0, "bogus", "")], 2)
+    send([("e1", "t", None, None, "")], 3)  # a delete carries nothing but the key
+    want = {"valid_amount": (4, 6, 3), "valid_tenant": (0, 6, 3), "valid_status": (3, 6, 3)}
+    assert counts() == want
+    # The last batch is run again, as after a failure before its commit.
+    commits = tmp_path / "lake" / "_checkpoints" / "silver_expenses" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for p in commits.iterdir():
+        if p.name in (str(last), f".{last}.crc"):
+            p.unlink()
+    medallion.refresh_silver(spark, lake, ["expenses"])
+    assert counts() == want
+    assert {r.expense_id for r in medallion.silver_table(spark, lake, "expenses").collect()} == {"e2"}
