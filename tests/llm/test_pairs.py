@@ -123,7 +123,13 @@ def test_jaccard_of_nothing(nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
-def test_jaccard_groups_chains_and_shared_passages(spark):
+LIMITS = [{}, {"SMALL": 3, "REGION_ROWS": 8, "PIVOTS": 2, "ROUNDS": 3}, {"SMALL": 2, "REGION_ELEMENTS": 300, "PIVOTS": 1, "ROUNDS": 1, "REGION_WINDOWS": 1}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_jaccard_groups_chains_and_shared_passages(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{i}" for i in rng.integers(0, 400, n)]
     texts = []
@@ -143,6 +149,30 @@ def test_jaccard_groups_chains_and_shared_passages(spark):
     assert jaccard_found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == jaccard_expected(rows)
 
 
+@pytest.mark.parametrize("windows", [0, 2, 8])
+def test_a_region_is_connected_as_its_links_would(monkeypatch, windows):
+    monkeypatch.setattr(jaccard_join, "REGION_WINDOWS", windows)
+    rng = np.random.default_rng(windows)
+    for _ in range(30):
+        sets, base = [], rng.integers(0, 1 << 62, int(rng.integers(20, 60)))
+        for _ in range(int(rng.integers(2, 40))):
+            own = base.copy()
+            own[rng.integers(0, len(own), int(rng.integers(0, 5)))] = rng.integers(0, 1 << 62)
+            sets.append(np.unique(own[: len(own) - int(rng.integers(0, 6))]))
+        links = [(i, j) for i in range(len(sets)) for j in range(i)
+                 if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+        got = jaccard_join.joined_region(np.arange(len(sets)) * 7, sets, 85)
+        assert partition(union_find(len(sets), links)) == partition(union_find(len(sets), [(a // 7, b // 7) for a, b in got]))
+        assert len(got) < len(sets)
+
+
+def partition(roots):
+    groups = {}
+    for i, r in enumerate(roots):
+        groups.setdefault(r, []).append(i)
+    return sorted(groups.values())
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300 + i) for i in range(1, 30)]
