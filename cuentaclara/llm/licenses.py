@@ -63,7 +63,7 @@ def positions(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[
 
 
 def hits(docs: DataFrame, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
-    """Votes per row, template and diagonal; and one row without a template per document, so that none gets lost."""
+    """Template places found per row, template and diagonal; and one row without a template per document, so that none gets lost."""
     spark = docs.sparkSession
     rows = own_columns(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     plain = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
@@ -79,7 +79,7 @@ def hits(docs: DataFrame, phrases: Mapping[str, str], notices: Mapping[str, str]
     found = grams.join(F.broadcast(spots), same, "left").where("template IS NOT NULL OR i = -1")
     return found.groupBy(
         "row", "doc_id", "n_words", "template", "label", "base", "length", "grams", (F.col("i") - F.col("at")).alias("diagonal")
-    ).agg(F.count("template").alias("votes"), F.min("i").alias("low"), F.max("i").alias("high"))
+    ).agg(F.collect_set("at").alias("places"), F.min("i").alias("low"), F.max("i").alias("high"))
 
 
 def passages(voted: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def passages(voted: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("base"), 0).otherwise(GAP)
     groups = voted.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(order))
-    spans = groups.groupBy("row", "doc_id", "n_words", "template", "label", "base", "length", "grams", "group").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("first"), F.max("high").alias("last_gram"))
+    # A template place counts once in a span, however often a phrase is repeated there.
+    spans = groups.withColumn("place", F.explode_outer("places")).groupBy(
+        "row", "doc_id", "n_words", "template", "label", "base", "length", "grams", "group").agg(
+        F.size(F.collect_set("place")).alias("votes"), F.min("low").alias("first"), F.max("high").alias("last_gram"))
     width = F.col("last_gram") - F.col("first") + F.col("length") - F.col("grams") + 1
     coverage = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     verified = F.col("template").isNull() | ((coverage >= COVERAGE) & (width <= STRETCH * F.col("length")))

@@ -89,6 +89,13 @@ def test_license_scan(spark, odd, nothing):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(nothing).count() == 0
 
 
+def test_a_repeated_phrase_is_no_notice(spark):
+    bsd = next(n for n, label in licenses.NOTICES.items() if label == "bsd")
+    texts = ["following conditions are met " * 6, "conditions are met following " * 40, bsd + " " + "x " * 30 + "conditions are met " * 5, bsd.replace("forms", "shapes")]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["", "", "bsd", "bsd"] and 0 < rows[3].score < 1 and rows[2].score == 1
+
+
 # --- pieces -----------------------------------------------------------------------------------
 
 
