@@ -99,6 +99,31 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", packed)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker process outlives its task and would keep it beside the next stage's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """The function of a task over batches, followed by ``give_back``."""
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def slices(batch, limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow batch that hold about ``limit`` bytes of text each (one row at least)."""
     import numpy as np

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuentaclara.llm.common import own_columns, ship, slices
+from cuentaclara.llm.common import own_columns, ship, slices, tidy
 
 ship(__name__)
 
@@ -167,7 +167,7 @@ def train(docs: DataFrame, train_rows: int, landmarks: int, ridge: float) -> Mod
 
     # The driver gets bits of a fixed size per row, never texts.
     by_lang: dict[str, list] = {}
-    for row in sample.mapInArrow(reduce, "lang string, pick double, bits binary").collect():
+    for row in sample.mapInArrow(tidy(reduce), "lang string, pick double, bits binary").collect():
         by_lang.setdefault(row["lang"], []).append((row["pick"], bytes(row["bits"])))
     rows = [(lang, bits) for lang, found in sorted(by_lang.items()) for _, bits in sorted(found)[:share]]
     bits = np.frombuffer(b"".join(b for _, b in rows), dtype="uint8").reshape(len(rows), -1)
@@ -214,7 +214,7 @@ def predicted(docs: DataFrame, model: Model | None, whole_rows: bool = False) ->
 
     schema = T.StructType(base.select(*carried).schema.fields + [
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def identified_rows(docs: DataFrame, train_rows: int = 2400, landmarks: int = 300, ridge: float = 1e-3) -> DataFrame:

@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from cuentaclara.llm.common import own_columns, ship, slices
+from cuentaclara.llm.common import own_columns, ship, slices, tidy
 
 ship(__name__)
 
 MARK = "▁"
 TABLE_CHUNKS = 400_000
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 48 << 20
 #: What Python needs for a chunk besides its characters and ids.
 ENTRY_BYTES = 250
 DECODE_ROWS = 256
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, model_path: str | None = None,
     kinds = {"n_tokens": "long", "ids": "array<int>"}
     schema = ", ".join(f"{name} {kinds.get(name, 'string')}" for name in outputs)
     rows = own_columns(docs, "doc_id", "text")
-    return rows.mapInArrow(_batches(path, outputs), f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}")
+    return rows.mapInArrow(tidy(_batches(path, outputs)), f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -188,4 +188,4 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
                 plain = [sp.decode(ids.as_py() or []) for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(plain, pa.string())], names=["doc_id", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded string")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, decoded string")
