@@ -5,7 +5,7 @@ marker: a marked text is the concatenation of independent chunks, each a run of
 next one. Each task keeps a table of the distinct chunks it has met, segments a chunk once with the library, and joins
 ids back by position. ``check_model`` verifies the premise on the model itself before a job starts.
 
-The table belongs to a task. Between slices of about one MB of text, each of which leaves the task as a batch of its own,
+The table belongs to a task. Between slices of about ``SLICE_BYTES`` of text, each of which leaves the task as a batch of its own,
 it is emptied if it holds more than ``TABLE_CHUNKS`` chunks or about ``TABLE_BYTES`` bytes, and chunks of more than
 ``LONG_CHUNK`` characters leave it; that costs time and never changes a result.
 
@@ -28,10 +28,11 @@ ship(__name__)
 
 MARK = "▁"
 TABLE_CHUNKS = 400_000
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 16 << 20
 #: What Python needs for a chunk besides its characters and ids.
 ENTRY_BYTES = 250
 DECODE_ROWS = 256
+SLICE_BYTES = 256 << 10
 LONG_CHUNK = 1_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -141,7 +142,7 @@ def _batches(path: str, outputs: tuple[str, ...]):
         table = Chunks(path, numbers="ids" in outputs)
         kinds = {"n_tokens": pa.int64()}
         for batch in batches:
-            for start, stop in slices(batch):
+            for start, stop in slices(batch, SLICE_BYTES):
                 columns: dict[str, list] = {name: [] for name in outputs}
                 lengths = [0]
                 part = [t or "" for t in batch.column("text").slice(start, stop - start).to_pylist()]

@@ -122,7 +122,7 @@ def test_no_texts_and_small_slices(spark, nothing, documents, monkeypatch):
     outputs = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
     whole = sorted(map(str, sentence_pieces.encode(documents, outputs=outputs).collect()))
     monkeypatch.setattr(sentence_pieces, "TABLE_BYTES", 20_000)
-    monkeypatch.setattr(sentence_pieces, "slices", lambda batch: ((i, min(i + 3, batch.num_rows)) for i in range(0, batch.num_rows, 3)))
+    monkeypatch.setattr(sentence_pieces, "slices", lambda batch, limit: ((i, min(i + 3, batch.num_rows)) for i in range(0, batch.num_rows, 3)))
     assert sorted(map(str, sentence_pieces.encode(documents, outputs=outputs).collect())) == whole
 
 
