@@ -4,11 +4,12 @@ Unit vectors have cosine >= t if and only if their distance is at most sqrt(2 -
 weight. The upper levels of a tree are shared: centres chosen from a bounded sample, nested in levels with halving radii, give every
 point a home, the centre that a greedy descent finds. Covering radii are then measured over all points. Pairs of homes are
 pruned by distance of centres - radii > threshold, and a point is sent to another home only if that home's radius can reach it.
-The points of a home are cut into blocks of about ``BLOCK``, so a crowded home is many tasks.
+The points of a home are cut into blocks of about ``BLOCK`` points and at most ``BLOCK_BYTES``, so a crowded home is many tasks.
 
 Each pair of blocks is one task: it builds a cover tree of each, nested levels with halving radii down to leaves, and
 traverses both at once. Node pairs that cannot hold a link are pruned, node pairs that must all link are counted without
-looking at their points, and leaves are compared by one product. What leaves the task is one row per point: how many links
+looking at their points, and leaves are compared by one product. Bounds give way by ``SLACK``, more than distances can be
+off: one near 0 is the root of a rounded 2 - 2ab. What leaves the task is one row per point: how many links
 it found, and one member of its connected part. Dense groups are therefore never written out pair by pair.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have no label link with nothing.
@@ -30,11 +31,12 @@ from cuentaclara.llm.graph import components
 
 ship(__name__)
 
-BLOCK = 4096
+BLOCK = 8192
+BLOCK_BYTES = 16 << 20
 LEAF = 64
-SLACK = 1e-9
+SLACK = 1e-6
 CENTRES = 2000
-PER_HOME = 1024
+PER_HOME = 8192
 
 
 @dataclass
@@ -222,9 +224,10 @@ def vectors_of(embeddings: DataFrame) -> DataFrame:
                 unit = None
                 if label is not None and values and None not in values:
                     v = np.array(values, dtype="float64")
-                    size = np.linalg.norm(v)
-                    if np.isfinite(size) and size > 0:
-                        unit = (v / size).tobytes()
+                    largest = np.abs(v).max()
+                    if np.isfinite(largest) and largest > 0:  # scaled first: squares of large or small numbers leave the range
+                        v /= largest
+                        unit = (v / np.linalg.norm(v)).tobytes()
                 units.append(unit)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("label"), pa.array(units, pa.binary())], names=["vec_id", "label", "unit"])
@@ -285,7 +288,8 @@ def cells(placed: DataFrame, uppers: dict, cosine: float, block: int) -> DataFra
     stats = placed.groupBy("label", "width", "home").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     of_label: dict = {}
     for r in stats:
-        of_label.setdefault((r["label"], r["width"]), []).append((r["home"], r["radius"], max(1, -(-r["n"] // block))))
+        fits = max(1, min(block, BLOCK_BYTES // r["width"]))
+        of_label.setdefault((r["label"], r["width"]), []).append((r["home"], r["radius"], -(-r["n"] // fits)))
     shared = placed.sparkSession.sparkContext.broadcast(
         (of_label, {k: u.levels[-1] for k, u in uppers.items()}))
 

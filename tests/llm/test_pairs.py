@@ -222,6 +222,33 @@ def test_cover_tree(spark, block, centres, per_home):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_cover_tree_at_the_threshold():
+    """Two blocks around centres whose distance is the threshold: bounds near 0 must not cut or count what the products say."""
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        a = rng.normal(size=16)
+        a /= np.linalg.norm(a)
+        side = rng.normal(size=16)
+        side -= (side @ a) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * side / np.linalg.norm(side)
+        x = np.concatenate([c + rng.normal(size=(71, 16)) * 1e-8 for c in (a, b)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        first = np.arange(142) < 71
+        linked = x[first] @ x[~first].T >= 0.98
+        links = cover_tree.pairs_of_cell(x, np.ones(142), first, False, 0.98)
+        found = np.concatenate([linked.sum(1), linked.sum(0)])
+        # Products themselves are rounded, in another order in blocks: pairs within that of the threshold may go either way.
+        unsure = np.abs(x[first] @ x[~first].T - 0.98) < 1e-14
+        slack = np.concatenate([unsure.sum(1), unsure.sum(0)])
+        assert (np.abs(links.count - found) <= slack).all(), trial
+
+
+def test_cover_tree_of_large_and_small_numbers(spark):
+    rows = [(1, 0, [1e200, 1e200]), (2, 0, [2e200, 2e200]), (3, 0, [1e-170, 0.0]), (4, 0, [1.0, 0.0]), (5, 0, [float("inf"), 0.0]), (6, 0, [0.0, 0.0])]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 def test_cover_tree_of_nothing(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
