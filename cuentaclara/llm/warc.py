@@ -3,7 +3,8 @@
 Writing: a payload that several pages share is stored once, as the response of the largest page_id (nulls first, then
 by url); the others are revisit records that refer to it. Every capture gets three records, joined by
 WARC-Concurrent-To. Archives are gzip text files with records separated as the format asks, written by Spark's own
-writer, so a lost executor leaves no partial archive behind; ``records_per_file`` bounds their size.
+writer, so a lost executor leaves no partial archive behind. Pages are written by class of length (``SIZE_CLASSES``), each class with
+as many records in a file as ``file_bytes`` allow for its longest, so no archive is longer; a page beyond that has one of its own.
 
 Reading: files are read by Spark and parsed record by record by Content-Length, so a payload may hold any bytes.
 
@@ -31,6 +32,11 @@ END = LINE + LINE
 # The digits of base 32, as the parsing functions and as archives write them.
 BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Upper bounds of payload bytes per class; pages beyond the last are written one per archive.
+SIZE_CLASSES = (32 << 10, 1 << 20, 16 << 20)
+FILE_BYTES = 256 << 20
+#: What the three records of a capture take beside payload and address, at most.
+HEADER_BYTES = 4 << 10
 RECORDS = ("record_id string, type string, target string, date string, concurrent_to array<string>, refers_to string, "
            "payload_digest string, payload_bytes long, fields map<string,string>, payload binary")
 
@@ -61,14 +67,33 @@ def _http(length: Column) -> Column:
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit(END))
 
 
-def archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 30_000) -> None:
-    """Write the pages (page_id, url, html) as archives below ``path``."""
+def _size_class(size: Column) -> Column:
+    return sum((size > bound).cast("int") for bound in SIZE_CLASSES)
+
+
+def captures_per_file(size_class: int, file_bytes: int) -> int:
+    """How many captures of a class fit a file, headers included; one at least."""
+    if size_class >= len(SIZE_CLASSES):
+        return 1
+    return max(1, file_bytes // (SIZE_CLASSES[size_class] + HEADER_BYTES))
+
+
+def archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write the pages (page_id, url, html) as archives below ``path``, in one folder per class of length that occurs."""
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
     rows = own_columns(pages, "page_id", "url", "html").select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     body = F.col("html").cast("binary")
     rows = rows.withColumns({"digest": base32_sha1(body), "check": F.xxhash64(body), "bytes": F.octet_length(body).cast("long")})
+    first = written(rows.groupBy("digest", "check", "bytes").agg(F.max(F.struct("page_id", "url")).alias("kept")), "warc-first")
+    # A class reads the lengths of all pages but moves and digests only its own.
+    size = F.octet_length("html") + 4 * F.octet_length("url")
+    for number in sorted(r[0] for r in rows.select(_size_class(size)).distinct().collect()) or [0]:
+        _write_class(rows.where(_size_class(size) == number), first, f"{path}/class-{number}", date,
+                     3 * captures_per_file(number, file_bytes))
+
+
+def _write_class(rows: DataFrame, first: DataFrame, path: str, date: str, records_per_file: int) -> None:
     same = ["digest", "check", "bytes"]
-    first = written(rows.groupBy(*same).agg(F.max(F.struct("page_id", "url")).alias("kept")), "warc-first")
     joined = rows.join(first, same)
     mine = F.col("page_id").eqNullSafe(F.col("kept.page_id")) & (F.col("url") == F.col("kept.url"))
     joined = joined.select(
@@ -178,7 +203,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def captures(records: DataFrame) -> DataFrame:

@@ -155,6 +155,18 @@ def test_archives_and_back(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    import gzip
+
+    lengths = [10] * 30 + [20_000] * 30 + [500_000] * 9 + [3 << 20]
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(lengths)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.archive(pages, str(tmp_path / "w"), file_bytes=2 << 20)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert sorted(sizes)[-2] <= 2 << 20 < max(sizes) < (3 << 20) + 8192 and len(sizes) >= 6
+    assert warc.read_records(spark, str(tmp_path / "w")).where("type = 'response'").count() == len(rows)
+
+
 def test_captures_join_records_either_way(spark):
     def record(name, kind, *others):
         return (name, kind, "t", "d", list(others), None, None, 0, {}, None)
