@@ -124,6 +124,18 @@ def tidy(run):
     return whole
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let the session send at most ``rows`` rows to Python at once.
+
+    Whole texts make batches of the usual 10,000 rows tens of megabytes, held by the JVM, in flight and by the worker, for each
+    task; what the allocators have once taken stays with them for the stages to come.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batch, limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow batch that hold about ``limit`` bytes of text each (one row at least)."""
     import numpy as np
