@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuentaclara.llm import exact_dedup, jaccard_join, language_id, mixing, sentence_pieces
-from cuentaclara.llm.common import dropped, table, written
+from cuentaclara.llm.common import dropped, small_batches, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, a missing lang filled in; those without text or without a letter go, also where no language can be learned."""
+    small_batches(spark)
     return language_id.identified_rows(docs)
 
 
@@ -24,6 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a 5-gram Jaccard similarity of 0.80 or more the one with the smallest doc_id stays."""
+    small_batches(spark)
     return jaccard_join.kept_rows(docs, words=5, percent=80)
 
 
@@ -34,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of ids, the ids, and digests of the ids and of the text they decode to."""
+    small_batches(spark)
     return sentence_pieces.encode(docs, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
