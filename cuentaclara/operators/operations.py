@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cuentaclara.functions import text
 from cuentaclara.functions.text import one_line
-from cuentaclara.operators import skew
+from cuentaclara.operators import sketches, skew
 
 
 
@@ -130,6 +130,23 @@ def hitl_resolution_percentiles(hitl: DataFrame, *, exact: bool = False) -> Data
     )
 
 
+def hitl_resolution_sketches(hitl: DataFrame) -> DataFrame:
+    """Minutes to resolution as one mergeable sketch per tenant and hour, to be stored and rolled up."""
+    return sketches.quantile_sketches(_resolved_minutes(hitl), ["tenant_id"], "created_at", "minutes")
+
+
+def hitl_resolution_from_sketches(hourly: DataFrame) -> DataFrame:
+    """Median and 95th percentile per tenant and day, from stored hours alone."""
+    days = sketches.rolled_up(hourly, ["tenant_id"], "day").withColumnRenamed("period", "day")
+    return sketches.quantiles(days, {"p50": 0.5, "p95": 0.95})
+
+
+def hitl_resolution_rank_errors(hitl: DataFrame) -> DataFrame:
+    """Those percentiles with the measured distance of their ranks from the ones asked for."""
+    found = hitl_resolution_from_sketches(hitl_resolution_sketches(hitl))
+    return sketches.rank_check(found, _resolved_minutes(hitl), ["tenant_id", "day"], "minutes", {"p50": 0.5, "p95": 0.95})
+
+
 def hitl_resolution_by_tenant(hitl: DataFrame, as_of: Column, days: int = 7, *, exact: bool = False) -> DataFrame:
     """Count, mean and 95th percentile of seconds to resolution per tenant."""
     start = as_of - F.make_dt_interval(F.lit(days))

@@ -13,6 +13,7 @@ from cuentaclara.functions import text
 from cuentaclara.functions.embedders import CountingEmbedder
 from cuentaclara.operators import (
     audit, bronze, cdc, gold, grounding, ivf, logs, ocr, postings, quality, repair, retrieval, search, security, silver,
+    sketches,
 )
 from cuentaclara.operators import operations as ops
 from cuentaclara.plans import oracle
@@ -535,6 +536,15 @@ def _(d):
     return ops.hitl_resolution_percentiles(d.hitl)
 
 
+@query("hitl_resolution_sketches", """
+    SELECT tenant_id, CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, count(*) AS n, true AS p50_within, true AS p95_within
+    FROM hitl WHERE status = 'resolved' AND resolved_at IS NOT NULL GROUP BY ALL""")
+def _(d):
+    found = ops.hitl_resolution_rank_errors(d.hitl)
+    within = [(F.col(f"{p}_error") <= sketches.RANK_BOUND).alias(f"{p}_within") for p in ("p50", "p95")]
+    return found.select("tenant_id", "day", "n", *within)
+
+
 @query("chat_turns_per_day", "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, count(*) AS turns FROM chat_turns GROUP BY 1")
 def _(d):
     return ops.chat_turns_per_day(d.chat_turns)
@@ -753,6 +763,18 @@ def _(d):
     return ops.missing_downstream(rows, cdc.silver_state(silver.clean_expenses(rows), "expense_id"))
 
 
+@query("layer_days", """
+    WITH u AS (SELECT DISTINCT CAST(coalesce(approved_at, updated_at) AS DATE) AS day, expense_id FROM expenses),
+         l AS (SELECT DISTINCT CAST(approved_at AS DATE) AS day, expense_id FROM audit),
+         b AS (SELECT coalesce(u.day, l.day) AS day, u.expense_id AS one, l.expense_id AS other
+               FROM u FULL JOIN l ON u.day = l.day AND u.expense_id = l.expense_id)
+    SELECT CAST(day AS VARCHAR) AS day, count(one) AS upper_ids, count(other) AS lower_ids, count(*) FILTER (other IS NULL) AS missing,
+           count(*) = count(one) AND count(*) = count(other) AS settled, true AS in_bound FROM b GROUP BY day""")
+def _(d):
+    silver_days = d.expenses.withColumn("approved_at", F.coalesce("approved_at", "updated_at"))
+    return sketches.day_report(silver_days, audit_table(d), "expense_id", "approved_at").drop("only_upper", "only_lower")
+
+
 # --- presence, lists, pages ---------------------------------------------------------------
 
 _PRESENCE = ("bronze_expenses", "receipts", "timeline", "ocr", "hitl_changes", "expenses", "timeline", "ocr", "hitl", "audit")
