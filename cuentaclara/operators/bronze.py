@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuentaclara.schemas import CORRUPT, Topic
 
@@ -26,7 +29,24 @@ def _is_malformed(doc: Column, topic: Topic) -> Column:
     return doc[topic.key].isNull() & doc["__op"].isNull()
 
 
-def _parsed(topic: Topic, keep) -> Column:
+#: Fields that a bronze column is made from, where that is not the field of its own name alone.
+_MADE_FROM = {
+    "uploaded_at": ("uploaded_at", "created_at"),
+    "content_type": ("content_type", "mime_type"),
+    "actor_type": ("actor",),
+    "actor_id": ("actor",),
+}
+
+
+def _schema_of(topic: Topic, only: Sequence[str] | None) -> T.StructType:
+    """What to parse for the bronze columns in ``only``; the rest of a message is skipped, though still checked to be JSON."""
+    if only is None:
+        return topic.json_schema
+    used = {topic.key, "__op"}.union(*[_MADE_FROM.get(c, (c,)) for c in only])
+    return T.StructType([f for f in topic.json_schema.fields if f.name in used])
+
+
+def _parsed(topic: Topic, keep, only: Sequence[str] | None = None) -> Column:
     """Zero or one decoded documents: tombstones give none, nor do documents ``keep`` rejects.
 
     Deciding inside the array means the text is parsed exactly once per message. As a filter
@@ -35,15 +55,15 @@ def _parsed(topic: Topic, keep) -> Column:
     """
     doc = F.from_json(
         F.col("value").cast("string"),
-        topic.json_schema,
+        _schema_of(topic, only),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
     return F.filter(F.array(doc), lambda d: d.isNotNull() & keep(d))
 
 
-def decode(raw: DataFrame, topic: Topic) -> DataFrame:
-    """Well-formed messages with their payload in ``doc``."""
-    return raw.withColumn("doc", F.explode(_parsed(topic, lambda d: ~_is_malformed(d, topic))))
+def decode(raw: DataFrame, topic: Topic, only: Sequence[str] | None = None) -> DataFrame:
+    """Well-formed messages with their payload in ``doc``, or the part of it that the bronze columns in ``only`` need."""
+    return raw.withColumn("doc", F.explode(_parsed(topic, lambda d: ~_is_malformed(d, topic), only)))
 
 
 def decode_all(raw: DataFrame, topic: Topic) -> DataFrame:
@@ -75,22 +95,29 @@ def _typed(name: str, topic: Topic) -> Column:
     return value.alias(name)
 
 
-def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None) -> DataFrame:
-    """Flat bronze rows. Text that does not fit its type becomes NULL; it never fails the job."""
-    return bronze_columns(decode(raw, topic), topic, ingested_at)
+def bronze_rows(raw: DataFrame, topic: Topic, ingested_at: Column | None = None, *, only: Sequence[str] | None = None) -> DataFrame:
+    """Flat bronze rows. Text that does not fit its type becomes NULL; it never fails the job. A reader of few columns
+    names them in ``only``: rows and values are the same, other fields are not parsed."""
+    rows = bronze_columns(decode(raw, topic, only), topic, ingested_at, only=only)
+    return rows if only is None else rows.select(*only)
 
 
-def bronze_columns(decoded: DataFrame, topic: Topic, ingested_at: Column | None = None) -> DataFrame:
+def bronze_columns(decoded: DataFrame, topic: Topic, ingested_at: Column | None = None, *, only: Sequence[str] | None = None) -> DataFrame:
     """Bronze rows from messages whose payload is in ``doc`` already."""
     helper_only = {"mime_type"} | ({"created_at"} - set(topic.timestamps))
-    payload = [_typed(c, topic) for c in topic.columns if c not in helper_only]
+    have = set(_schema_of(topic, only).fieldNames())
+    payload = [_typed(c, topic) for c in topic.columns if c not in helper_only and (only is None or c in only)]
     doc = F.col("doc")
     extra: list[Column] = []
-    if "actor" in topic.columns:
+    if "actor" in topic.columns and "actor" in have:
         extra += [
             F.get_json_object(doc["actor"], "$.type").alias("actor_type"),
             F.get_json_object(doc["actor"], "$.id").alias("actor_id"),
         ]
+    extra += [
+        doc[c].try_cast("boolean").alias(c) if c == "__deleted" else doc[c].alias(c)
+        for c in ("__op", "__source_ts_ms", "__deleted") if c in have
+    ]
     extra += [
         F.col(source).alias(target)
         for source, target in _MESSAGE_METADATA.items()
@@ -101,9 +128,6 @@ def bronze_columns(decoded: DataFrame, topic: Topic, ingested_at: Column | None
         decoded.select(
             *payload,
             *extra,
-            doc["__op"].alias("__op"),
-            doc["__source_ts_ms"].alias("__source_ts_ms"),
-            doc["__deleted"].try_cast("boolean").alias("__deleted"),
             stamp.alias("_cdc_ingestion_ts"),
             stamp.cast("date").alias("_cdc_date"),
         )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cuentaclara.functions import text
 from cuentaclara.functions.text import one_line
 from cuentaclara.operators import sketches, skew
+from cuentaclara.sources.tables import staged
 
 
 
@@ -539,7 +540,8 @@ def trace_view(view: str, table: DataFrame, expense_id: str = "__none__") -> Dat
     found = table.where(show_all_or_one(expense_id)).select(*columns)
     if order is None:
         return found
-    return found.orderBy(F.col(order).desc() if newest_first else F.col(order).asc())
+    # A sort over all tasks looks at its rows twice, first for the ranges; staged, they are decoded or folded once.
+    return staged(found, "trace-view").orderBy(F.col(order).desc() if newest_first else F.col(order).asc())
 
 
 # --- windows ------------------------------------------------------------------------------

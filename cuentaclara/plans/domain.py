@@ -131,9 +131,10 @@ class Domain:
     def hitl_messages(self) -> DataFrame:
         """Conflict lists as names, as objects and as ``_0`` maps, depending on the task."""
         names = "discrepancy_fields"
-        raw = f"""CASE WHEN decision IS NULL THEN to_json({names})
-            WHEN decision = 'accept_ocr' THEN to_json(transform({names}, x -> named_struct('field', x, 'confidence', 90)))
-            ELSE to_json(map_from_entries(transform({names}, (x, i) -> struct('_' || i, x)))) END"""
+        # The names are letters only, so joining them is JSON; to_json of each shape took a fifth of the messages' time.
+        raw = f"""CASE WHEN decision IS NULL THEN '["' || array_join({names}, '","') || '"]'
+            WHEN decision = 'accept_ocr' THEN '[{{"field":"' || array_join({names}, '","confidence":90}},{{"field":"') || '","confidence":90}}]'
+            ELSE '{{' || array_join(transform({names}, (x, i) -> '"_' || i || '":"' || x || '"'), ',') || '}}' END"""
         shaped = self.hitl_changes.withColumn("_raw", F.expr(raw)).withColumn("discrepancy_fields", F.lit("@@"))
         text = F.to_json(F.struct(
             *[F.col(c) for c in shaped.columns if c not in ("_op", "_source_ts_ms", "_tiebreak", "_raw")],

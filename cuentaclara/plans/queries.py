@@ -842,29 +842,33 @@ def _(d):
     return ops.trace_view("bronze_expense", bronze_expense_rows(d))
 
 
+def trace_of_messages(view: str, messages: DataFrame, topic: schemas.Topic) -> DataFrame:
+    return ops.trace_view(view, bronze.bronze_rows(messages, topic, only=["expense_id", *ops.TRACE_VIEWS[view][0]]))
+
+
 @query("trace_bronze_receipt", """
     SELECT epoch_us(uploaded_at) // 1000 AS __source_ts_ms, 'c' AS __op, receipt_id, s3_key, content_type, size_bytes, uploaded_at FROM receipts""")
 def _(d):
-    return ops.trace_view("bronze_receipt", bronze.bronze_rows(d.receipt_messages, schemas.RECEIPTS))
+    return trace_of_messages("bronze_receipt", d.receipt_messages, schemas.RECEIPTS)
 
 
 @query("trace_bronze_events", """
     SELECT epoch_us(created_at) // 1000 AS __source_ts_ms, 'c' AS __op, event_type, workflow_id, event_id, created_at FROM timeline""")
 def _(d):
-    return ops.trace_view("bronze_events", bronze.bronze_rows(d.event_messages, schemas.EXPENSE_EVENTS)).drop("actor")
+    return trace_of_messages("bronze_events", d.event_messages, schemas.EXPENSE_EVENTS).drop("actor")
 
 
 @query("trace_bronze_ocr", """
     SELECT epoch_us(extracted_at) // 1000 AS __source_ts_ms, 'u' AS __op, CAST(ocr_total AS DOUBLE) AS ocr_total, ocr_vendor, CAST(ocr_date AS VARCHAR) AS ocr_date,
            ocr_currency, avg_confidence, textract_raw_s3_key, extracted_at FROM ocr""")
 def _(d):
-    return ops.trace_view("bronze_ocr", bronze.bronze_rows(d.ocr_messages, schemas.OCR_EXTRACTIONS))
+    return trace_of_messages("bronze_ocr", d.ocr_messages, schemas.OCR_EXTRACTIONS)
 
 
 @query("trace_bronze_hitl", """
     SELECT source_ts_ms AS __source_ts_ms, op AS __op, task_id, status, decision, resolved_by, resolved_at, created_at, workflow_id FROM hitl_changes""")
 def _(d):
-    return ops.trace_view("bronze_hitl", bronze.bronze_rows(d.hitl_messages, schemas.HITL_TASKS))
+    return trace_of_messages("bronze_hitl", d.hitl_messages, schemas.HITL_TASKS)
 
 
 @query("expenses_page", """

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuentaclara import schemas
-from cuentaclara.operators import bronze, quality, repair, silver
+from cuentaclara.operators import bronze, operations, quality, repair, silver
 from cuentaclara.sources import feeds
 
 
@@ -50,6 +50,38 @@ def test_actor_shapes(spark, sent, kind):
     assert (row.actor_type, row.trace_id) == (kind, "x")
 
 
+def test_a_reader_of_few_columns_parses_only_those(spark):
+    raw = messages(
+        spark, None, "{broken", json.dumps({"unknown": 1}), '{"task_id": "t0", "resolved_fields": {"a": "b"',
+        json.dumps({"task_id": "t1", "status": "pending", "resolved_fields": {"amount": "1"}, "discrepancy_fields": [{"field": "vendor"}], "created_at": "2026-01-02T03:04:05Z",
+                    "__op": "u", "__source_ts_ms": 5, "__deleted": "true"}),
+        json.dumps({"task_id": "t2", "status": {"odd": 1}, "resolved_fields": 7, "created_at": "yesterday", "__source_ts_ms": "x"}), json.dumps({"status": "s", "__op": "d"}))
+    only = ["__source_ts_ms", "__op", "task_id", "status", "created_at", "__deleted", "_kafka_offset"]
+    few = bronze.bronze_rows(raw, schemas.HITL_TASKS, only=only)
+    assert sorted(map(str, few.collect())) == sorted(map(str, bronze.bronze_rows(raw, schemas.HITL_TASKS).select(*only).collect())) and few.count() == 3
+    plan = few._jdf.queryExecution().analyzed().toString()
+    assert "created_at" in plan and "resolved_fields" not in plan and "discrepancy_fields" not in plan
+    receipts = messages(spark, json.dumps({"receipt_id": "r", "mime_type": "image/png", "created_at": "2026-01-01T00:00:00Z", "__op": "c"}))
+    row = bronze.bronze_rows(receipts, schemas.RECEIPTS, only=["content_type", "uploaded_at"]).first()
+    assert row.content_type == "image/png" and row.uploaded_at is not None
+    event = messages(spark, json.dumps({"event_id": "v", "actor": {"type": "user", "id": "u1"}, "__op": "c"}))
+    assert tuple(bronze.bronze_rows(event, schemas.EXPENSE_EVENTS, only=["actor_id", "event_id"]).first()) == ("u1", "v")
+
+
+def test_a_sorted_trace_view_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    columns = "expense_id string, __source_ts_ms bigint, __op string, task_id string, status string, decision string, resolved_by string, resolved_at timestamp, created_at timestamp, workflow_id string"
+    rows = spark.createDataFrame([(f"e{i}", (i * 37) % 101, "u", f"t{i}", "pending", None, None, None, None, None) for i in range(500)], columns).repartition(4)
+    got = operations.trace_view("bronze_hitl", rows.mapInArrow(note, columns)).collect()
+    assert [r["__source_ts_ms"] for r in got] == sorted((i * 37) % 101 for i in range(500)) and seen.value == 500
+
+
 def test_receipt_aliases(spark):
     raw = messages(spark, json.dumps({"receipt_id": "r", "mime_type": "image/png", "created_at": "2026-01-01T00:00:00Z", "__op": "c"}))
     row = bronze.bronze_rows(raw, schemas.RECEIPTS).first()
