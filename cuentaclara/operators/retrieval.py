@@ -200,6 +200,84 @@ def semantic_topk(embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -
     return hits if payload == ["chunk_id", "tenant_id"] else hits.join(embedded.select(*payload), ["chunk_id", "tenant_id"])
 
 
+BLOCK_ROWS = 8192
+BLOCK_QUERIES = 4096
+
+
+def semantic_topk_many(embedded: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """``semantic_topk`` for batches of queries that grow with the table: the same query_id, tenant_id, chunk_id, rank and score.
+
+    All pairs are looked at, in blocks of bounded size: a matrix product says which rows of a block can be among the first ``k`` of
+    a query, those are scored as ``vectors.cosine`` does it, and ``k`` of them leave the block. Vectors with null or extreme
+    components or of an unusual width are scored pair by pair.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = embedded.where((F.size("embedding") > 0) & F.col("tenant_id").isNotNull()).select("chunk_id", "tenant_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.where("tenant_id IS NOT NULL").select("query_id", "tenant_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
+    usual = rows.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("w", F.struct("n", "w")), F.sum("n")).first()
+    width, n_rows, n_asked = usual[0] or 0, usual[1] or 0, asked.count()
+
+    def plain(vector: str) -> Column:
+        fine = (F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) <= 1e100)) & F.exists(vector, lambda x: F.abs(x) >= 1e-100)
+        return F.coalesce(fine, F.lit(False))
+
+    def parts(n: int, size: int) -> Column:
+        return F.lit(max(1, -(-n // size))).cast("bigint")
+
+    def each(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    row_parts, query_parts = parts(n_rows, BLOCK_ROWS), parts(n_asked, BLOCK_QUERIES)
+    left = rows.where(plain("embedding")).withColumn("_r", F.pmod(F.xxhash64("chunk_id"), row_parts)).withColumn("_q", each(query_parts))
+    right = asked.where(plain("query_vec")).withColumn("_q", F.pmod(F.xxhash64("query_id"), query_parts)).withColumn("_r", each(row_parts))
+
+    def in_order(products):
+        total = np.zeros(len(products))
+        for j in range(products.shape[1]):  # as the column expressions add, so that equal vectors have equal scores
+            total = total + products[:, j]
+        return total
+
+    def matrix(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def score(block, asked_rows):
+        found: list[list] = [[], [], []]
+        if block.num_rows and asked_rows.num_rows:
+            block = block.take(pc.sort_indices(block, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+            have, want = matrix(block.column("embedding")), matrix(asked_rows.column("query_vec"))
+            have_norm, want_norm = np.sqrt(in_order(have * have)), np.sqrt(in_order(want * want))
+            units, take = have / have_norm[:, None], min(k, len(have))
+            for i in range(0, len(want), 256):
+                similar = (want[i: i + 256] / want_norm[i: i + 256, None]) @ units.T
+                least = -np.partition(-similar, take - 1, axis=1)[:, take - 1: take]
+                for q, near in enumerate(similar >= least - 1e-9, i):
+                    what = np.flatnonzero(near)
+                    exact = in_order(want[q] * have[what]) / (want_norm[q] * have_norm[what])
+                    first = np.argsort(-exact, kind="stable")[:take]  # rows are in the order of their identifiers
+                    found[0].append(np.full(len(first), q))
+                    found[1].append(what[first])
+                    found[2].append(exact[first])
+        who, what, exact = (np.concatenate(x) if x else np.zeros(0) for x in found)
+        picked = pa.array(who.astype("int64"))
+        return pa.Table.from_arrays(
+            [*[asked_rows.column(c).combine_chunks().take(picked) for c in ("query_id", "tenant_id")],
+             block.column("chunk_id").combine_chunks().take(pa.array(what.astype("int64"))), pa.array(exact.astype("float64"))],
+            names=["query_id", "tenant_id", "chunk_id", "_cosine"])
+
+    kinds = dict(rows.dtypes) | dict(asked.dtypes)
+    schema = f"query_id {kinds['query_id']}, tenant_id {kinds['tenant_id']}, chunk_id {kinds['chunk_id']}, _cosine double"
+    keys = ["tenant_id", "_r", "_q"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
+    for some, others in ((rows.where(~plain("embedding")), asked), (rows.where(plain("embedding")), asked.where(~plain("query_vec")))):
+        pairs = _parts(some).join(_for_parts(others), ["tenant_id", "_part"])
+        scored = scored.unionByName(pairs.select("query_id", "tenant_id", "chunk_id", vectors.cosine(F.col("query_vec"), F.col("embedding")).alias("_cosine")))
+    best = top_per_key(scored, ["query_id"], [F.col("_cosine").desc(), F.col("chunk_id")], k, "rank")
+    return best.withColumn("score", F.round("_cosine", 4)).drop("_cosine")
+
+
 def above_floor(hits: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Applied after the top k; hits without a score pass."""
     return hits.where(F.col("score").isNull() | (F.col("score") >= min_score))

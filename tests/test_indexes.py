@@ -95,6 +95,54 @@ def test_isotropic_vectors_keep_their_recall(spark):
     assert sum(r.chunk_id in truth[r.query_id] for r in hits) / 500 >= 0.9
 
 
+def test_a_cell_gives_few_rows_and_keeps_the_order_of_ties(monkeypatch):
+    monkeypatch.setattr(ivf, "CELL_ROWS", 100)
+    cells, placed = ivf.packed({0: 60, 2: 30, 3: 250, 4: 20, 5: 90}, 7)
+    assert cells.tolist() == [0, -1, 0, 1, 2, 3, -1] and placed == [(0, 0, 1), (2, 0, 1), (3, 1, 3), (4, 2, 1), (5, 3, 1)]
+    who, what = ivf.best_places(np.array([[1.0, 3.0, 2.0, 2.0, 2.0], [-np.inf, 1.0, -np.inf, -np.inf, -np.inf]]), 3)
+    assert (who.tolist(), what.tolist()) == ([0, 0, 0, 1], [1, 2, 3, 1])
+
+
+def test_a_query_meets_a_cell_once(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(1200)], "chunk_id long, embedding array<double>")
+    asked = df.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    quantiser = ivf.train(df, "chunk_id", "embedding", lists=100, sample_rows=800)
+    index = ivf.index_rows(df, "chunk_id", "embedding", quantiser).cache()
+    sizes = {r[0]: r[1] for r in index.groupBy("list_id").count().collect()}
+    cells, _ = ivf.packed(sizes, 100)
+    opened = ivf.probes_of(asked, "query_id", "query_vec", quantiser, 70, (), cells).collect()
+    assert len(opened) == 20  # 1400 when a row was one list
+    lists = ivf.probes_of(asked, "query_id", "query_vec", quantiser, 70).select("query_id", "list_id").collect()
+    assert sorted((r.query_id, int(x)) for r in opened for x in np.frombuffer(r.lists, "int32")) == sorted((q, x) for q, x in lists if x in sizes)
+    tried = ivf.candidates(index, asked, quantiser, id_col="chunk_id", query_id="query_id", vec_col="query_vec", probes=70, rerank=15).collect()
+    where = {r.chunk_id: r.list_id for r in index.collect()}
+    matrix = np.array([r.embedding for r in df.orderBy("chunk_id").collect()])
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    for q in range(20):
+        mine = {x for a, x in lists if a == q}
+        near = [i for i in np.argsort(-(matrix @ matrix[q])) if where[i] in mine]
+        got = {r.chunk_id for r in tried if r.query_id == q}
+        assert len(got) == 15 and set(near[:8]) <= got and got <= set(near[:25])
+
+
+def test_many_queries_have_the_neighbours_that_few_have(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(5)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0] * 6, [nan, *[1.0] * 5], [inf, *[1.0] * 5], [None, *[1.0] * 5], [1.0] * 7, [1e200] * 6, [1e-200] * 6]
+    rows = [(i, f"t{i % 2}", [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(1000 + i, "t0", [1.0, 2.0, 3.0, 4.0, 5.0, 6.1]) for i in range(150)]
+    rows += [(2000 + i, "t0", v) for i, v in enumerate(odd)] + [(None, "t0", [1.0, 2.0, 3.0, 4.0, 5.0, 6.1]), (7, "t1", rows[7][2]), (9, None, rows[9][2])]
+    df = spark.createDataFrame(rows, "chunk_id long, tenant_id string, embedding array<float>")
+    asked = df.where("chunk_id % 5 = 0 or chunk_id >= 2000 or chunk_id in (7, 9)").select(F.col("chunk_id").alias("query_id"), "tenant_id", F.col("embedding").alias("query_vec"))
+
+    def told(found):
+        return sorted(map(str, found.select("query_id", "tenant_id", "chunk_id", "rank", "score").collect()))
+
+    assert told(retrieval.semantic_topk_many(df, asked, 4)) == told(retrieval.semantic_topk(df, asked, 4))
+
+
 # --- postings ---------------------------------------------------------------------------------
 
 CHUNK = "chunk_id string, tenant_id string, chunk_text string"
