@@ -86,11 +86,14 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def counted_terms(chunks: DataFrame) -> DataFrame:
+def latest_texts(chunks: DataFrame) -> DataFrame:
+    """tenant_id, chunk_id and chunk_text, one row per key."""
+    return chunks.groupBy(*KEY).agg(F.max(F.coalesce(F.col("chunk_text"), F.lit(""))).alias("chunk_text"))
+
+
+def counted_terms(rows: DataFrame) -> DataFrame:
     """tenant_id, chunk_id, length, text_hash and terms. Words are sorted, so equal ones are runs; no word is shuffled."""
-    text = F.coalesce(F.col("chunk_text"), F.lit(""))
-    rows = chunks.groupBy(*KEY).agg(F.max(text).alias("chunk_text"))
-    rows = _once(rows, _words=F.array_sort(tokens(F.col("chunk_text"))))
+    rows = _once(rows, _words=F.sort_array(tokens(F.col("chunk_text"))))
     at = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>"))
     first = F.filter(at, lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)))
     rows = _once(rows, _first=first)
@@ -101,7 +104,7 @@ def counted_terms(chunks: DataFrame) -> DataFrame:
 
 def build(index: Index, chunks: DataFrame) -> None:
     """The first segment, from a whole chunk table."""
-    _write_segment(index, 0, counted_terms(chunks), None)
+    _write_segment(index, 0, counted_terms(latest_texts(chunks)), None)
 
 
 def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -> int | None:
@@ -113,16 +116,21 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -
     if not have:
         raise ValueError("build the index first")
     version = have[-1] + 1
-    fresh = counted_terms(changed)
+    fresh, keys = latest_texts(changed), changed.select(*KEY).distinct()
     if deleted is not None:
-        gone = deleted.select(*KEY).distinct().join(fresh.select(*KEY), KEY, "left_anti").select(
-            *KEY, F.lit(None).cast("int").alias("length"), F.lit(None).cast("bigint").alias("text_hash"), F.lit(None).cast(TERMS).alias("terms"))
-        fresh = fresh.unionByName(gone)
-    # Only folders that hold one of the keys are read.
-    keyed = fresh.withColumn("part", index.part(*KEY))
-    old = current_forward(index, keyed.select(*KEY, "part")).select(
-        *KEY, F.col("length").alias("_length"), F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"), F.col("version").alias("_version"))
-    joined = keyed.drop("part").join(old, KEY, "left").where(~F.col("text_hash").eqNullSafe(F.col("_hash")))
+        gone = deleted.select(*KEY).distinct().join(keys, KEY, "left_anti")
+        fresh, keys = fresh.unionByName(gone.withColumn("chunk_text", F.lit(None).cast("string"))), keys.unionByName(gone)
+    # Hashes say which texts differ; words are taken from those alone, once. Only folders that hold one of the keys are read.
+    hashed = fresh.withColumn("_new", F.when(F.col("chunk_text").isNotNull(), text_hash(F.col("chunk_text"))))
+    known = current_forward(index, keys.withColumn("part", index.part(*KEY))).select(*KEY, F.col("text_hash").alias("_hash"))
+    differs = staged(hashed.join(known, KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_hash"))).select(*KEY, "chunk_text"), "changed-texts")
+    old = current_forward(index, differs.select(*KEY, index.part(*KEY).alias("part"))).select(
+        *KEY, F.col("length").alias("_length"), F.col("terms").alias("_terms"), F.col("version").alias("_version"))
+    # A deleted chunk has no text, and neither words nor a hash.
+    there = F.col("chunk_text").isNotNull()
+    counted = counted_terms(differs.where(there)).unionByName(differs.where(~there).select(
+        *KEY, F.lit(None).cast("int").alias("length"), F.lit(None).cast("bigint").alias("text_hash"), F.lit(None).cast(TERMS).alias("terms")))
+    joined = staged(counted.join(old, KEY, "left"), "changed-terms")
     return version if _write_segment(index, version, joined.select(*KEY, "length", "text_hash", "terms"), joined) else None
 
 
@@ -131,7 +139,7 @@ def current_forward(index: Index, keys: DataFrame | None = None) -> DataFrame:
     rows = index.table("forward", FORWARD)
     if keys is not None:
         rows = index.of_parts("forward", FORWARD, keys).join(keys, [*KEY, "part"], "left_semi")
-    return top_per_key(rows, KEY, [F.col("version").desc()], 1, "_rank").drop("_rank").where(F.col("terms").isNotNull())
+    return top_per_key(rows, KEY, [F.col("version").desc()], 1, "_rank").drop("_rank").where(F.col("length").isNotNull())
 
 
 def _write_segment(index: Index, version: int, fresh: DataFrame, replaced: DataFrame | None) -> bool:

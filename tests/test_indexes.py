@@ -223,6 +223,19 @@ def test_search_reads_no_text_and_skips_blocks(spark, tmp_path, monkeypatch):
     same(index, df, asked, 5)
 
 
+def test_an_update_takes_words_only_from_changed_texts(spark, queries, tmp_path, monkeypatch):
+    rows = corpus(3, 200)
+    df = spark.createDataFrame(rows, CHUNK)
+    index = postings.Index(spark, f"{tmp_path}/index", parts=2)
+    postings.build(index, df)
+    counted, real = [], postings.counted_terms
+    monkeypatch.setattr(postings, "counted_terms", lambda texts: counted.append(texts.count()) or real(texts))
+    after = spark.createDataFrame([(c, t, "beta rare1 fresh" if c < "c0004" else x) for c, t, x in rows if c != "c0100"], CHUNK)
+    assert postings.update(index, after, df.where("chunk_id = 'c0100'")) == 1
+    assert counted == [4]  # every text of the table before, and that once for each reader of the rows
+    same(index, after, queries, 10)
+
+
 def test_repeated_rows_and_an_empty_table(spark, queries, tmp_path):
     rows = [("a", "t0", "alpha"), ("a", "t0", "alpha beta"), ("a", "t1", "alpha"), ("b", "t0", "beta beta")]
     index = postings.Index(spark, f"{tmp_path}/index", parts=2)
