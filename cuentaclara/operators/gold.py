@@ -75,19 +75,24 @@ def expense_audit(
     )
 
 
+#: As many dirty expenses at most are sent to every task, to cut the joined tables where they are read.
+FEW_KEYS = 200_000
+
+
 def refresh_audit(
     path: str, dirty: DataFrame, expenses: DataFrame, ocr: DataFrame, hitl: DataFrame, events: DataFrame
 ) -> DataFrame:
     """Replace the audit rows of the expenses in ``dirty`` (expense_id) and return the new ones, as they were written.
 
-    The other tables may hold more than that; they are cut to the dirty expenses before they are joined, and only the
-    touched partitions of the table are written. An expense that is no longer approved loses its row.
+    The other tables may hold more than that. While the dirty expenses are few, all tables are cut to them before they are joined;
+    many would have to be shuffled and sorted for that once per table, and the join with the cut expenses drops the rest anyway.
+    Only the touched partitions of the table are written. An expense that is no longer approved loses its row.
     """
     keys = staged(dirty.select("expense_id").where("expense_id IS NOT NULL").distinct(), "dirty-expenses")
-    parts = [df.join(keys, "expense_id", "left_semi") for df in (expenses, ocr, hitl, events)]
-    fresh = staged(bucketed(expense_audit(*parts), "expense_id"), "fresh-audit")
-    replace_keys(fresh, keys, path, "expense_id")
-    return fresh
+    if keys.count() <= FEW_KEYS:
+        ocr, hitl, events = (df.join(F.broadcast(keys), "expense_id", "left_semi") for df in (ocr, hitl, events))
+    fresh = expense_audit(expenses.join(keys, "expense_id", "left_semi"), ocr, hitl, events)
+    return replace_keys(bucketed(fresh, "expense_id"), keys, path, "expense_id")
 
 
 def audit_by_approval(expenses: DataFrame) -> DataFrame:

@@ -294,10 +294,12 @@ def _(d):
         "status": F.when(hours == 3, F.lit("approved")).otherwise(F.col("status"))})
     ghosts = d.expenses.where(hours == 4).withColumns({"expense_id": F.concat(F.lit("gone_"), "expense_id"), "status": F.lit("approved")})
     path = scratch_dir(d.spark, "audit")
+    # Silver is a table: the change log of the tasks is folded once, for the table and for its refresh.
+    hitl = tables.staged(d.hitl.select("expense_id", "status", "decision", "resolved_by", "resolved_at", "discrepancy_fields"), "silver-hitl")
     tables.overwrite_partitioned(tables.bucketed(
-        gold.expense_audit(earlier.unionByName(ghosts), d.ocr, d.hitl, d.timeline), "expense_id"), path, ("tenant_id", "bucket"))
-    dirty = d.expenses.where(hours <= 3).select("expense_id").unionByName(ghosts.select("expense_id"))
-    gold.refresh_audit(path, dirty, d.expenses, d.ocr, d.hitl, d.timeline)
+        gold.expense_audit(earlier.unionByName(ghosts), d.ocr, hitl, d.timeline), "expense_id"), path, ("tenant_id", "bucket"))
+    dirty = d.expenses.where(hours <= 4).select(F.when(hours == 4, F.concat(F.lit("gone_"), "expense_id")).otherwise(F.col("expense_id")).alias("expense_id"))
+    gold.refresh_audit(path, dirty, d.expenses, d.ocr, hitl, d.timeline)
     return tables.read_table(d.spark, path).select(
         F.col("tenant_id").cast("string").alias("tenant_id"), "expense_id", "user_id", "final_amount", "final_vendor", "final_date", "final_currency", "category",
         "approved_at", "had_hitl", "hitl_decision", "trace_id")

@@ -109,29 +109,32 @@ def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def replace_keys(fresh: DataFrame, dirty: DataFrame, path: str, key: str, by: Sequence[str] = ("tenant_id", "bucket")) -> None:
+def replace_keys(fresh: DataFrame, dirty: DataFrame, path: str, key: str, by: Sequence[str] = ("tenant_id", "bucket")) -> DataFrame:
     """All rows of the keys in ``dirty`` give way to ``fresh``; only partitions that had or get such rows are written.
 
     ``fresh`` has the columns of the table, and its keys are in ``dirty``; the columns of ``by`` are never null. A key may move
-    between partitions; a partition that loses its last row is removed. What is written is computed before anything is
-    overwritten, so the job can be run again after a failure with the same result.
+    between partitions; a partition that loses its last row is removed. ``fresh`` is computed once and returned as it was written;
+    ``dirty`` is read twice, so it should be a table. A dynamic overwrite puts folders in place when all its rows are written beside
+    them: the kept rows go straight from the table into it, and the job can be run again after a failure with the same result.
     """
     spark = fresh.sparkSession
-    new, keys = staged(fresh, "replace-new"), staged(dirty.select(key).distinct(), "replace-keys")
+    new, keys = staged(fresh, "replace-new"), dirty.select(key).distinct()
     if not has_rows_folder(spark, path):
         _balanced(new, by).write.mode("overwrite").partitionBy(*by).parquet(path)
-        return
+        return new
     current = read_table(spark, path)
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("_folder")
-    placed = current.select(key, *by, folder).join(keys, key, "left_semi").select(*by, "_folder").distinct()
-    old = staged(placed, "replace-places")
+    placed = current.select(key, *by, F.col("_metadata.file_path").alias("_file")).join(keys.withColumn("_dirty", F.lit(True)), key, "left")
+    files = placed.groupBy(*by, "_file").agg(F.count("_dirty").alias("_out"), F.count(F.lit(1)).alias("_n"))
+    places = staged(files.select(*by, F.regexp_replace("_file", "/[^/]*$", "").alias("_folder"), "_out", "_n"), "replace-places")
+    old, into = places.where("_out > 0").select(*by, "_folder"), new.select(*by).distinct()
     # The comparison lets Spark prune partitions by the join.
-    touched = staged(old.select(*by).unionByName(new.select(*by)).distinct(), "replace-touched").where(F.col(by[-1]) >= 0)
+    touched = staged(old.select(*by).unionByName(into).distinct(), "replace-touched").where(F.col(by[-1]) >= 0)
     kept = current.join(touched, list(by), "left_semi").join(keys, key, "left_anti")
-    rows = staged(kept.select(*new.columns).unionByName(new), "replace-rows")
-    overwrite_touched_partitions(rows, path, by)
-    for row in old.join(rows.select(*by).distinct(), list(by), "left_anti").select("_folder").distinct().toLocalIterator():
+    filled = staged(places.where("_out < _n").select(*by).unionByName(into).distinct(), "replace-filled")
+    overwrite_touched_partitions(kept.select(*new.columns).unionByName(new), path, by)
+    for row in old.join(filled, list(by), "left_anti").select("_folder").distinct().toLocalIterator():
         remove_folder(spark, row["_folder"])
+    return new
 
 
 def has_rows_folder(spark: SparkSession, path: str) -> bool:

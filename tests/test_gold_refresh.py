@@ -105,6 +105,82 @@ def test_changes_reach_gold_by_key(spark, domain, tmp_path):
     assert not any("tenant_id=t_moved" in f for f in files_of(lake.gold("expense_audit")))
 
 
+AUDIT_READS = {
+    "expenses": "expense_id string, tenant_id string, user_id string, receipt_id string, amount decimal(18,2), currency string, date date, vendor string, category string, "
+                "status string, final_amount decimal(18,2), final_vendor string, final_date date, final_currency string, source_per_field map<string,string>, "
+                "approved_at timestamp, updated_at timestamp",
+    "ocr": "expense_id string, ocr_total decimal(18,2), ocr_vendor string, ocr_date date, ocr_currency string, ocr_extra string",
+    "hitl": "expense_id string, status string, decision string, resolved_by string, resolved_at timestamp, discrepancy_fields array<string>",
+    "events": "event_id string, expense_id string, trace_id string, created_at timestamp",
+}
+
+
+def silver_rows(spark, keys, tenant="t_a", vendor="old"):
+    """One approved expense per key (tenant and vendor as said), every second with OCR, every third with a review and a trace."""
+    at = dt.datetime(2026, 1, 1)
+    rows = {
+        "expenses": [(k, tenant, "u", None, None, "USD", at.date(), vendor, "food", "approved", None, None, None, None, {"date": "user"}, at, at) for k in keys],
+        "ocr": [(k, None, None, at.date(), "EUR", "{}") for i, k in enumerate(keys) if i % 2 == 0],
+        "hitl": [(k, "resolved", "custom", "rev", at, ["amount"]) for i, k in enumerate(keys) if i % 3 == 0],
+        "events": [(f"e{k}", k, f"trace_{k}", at) for i, k in enumerate(keys) if i % 3 == 0],
+    }
+    return {t: spark.createDataFrame(rows[t], AUDIT_READS[t]) for t in rows}
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_refresh_writes_rows_once_and_takes_repeated_keys(spark, tmp_path, monkeypatch, few):
+    """Beside the table, a refresh writes its keys and its new rows once, whatever number of rows stays; few and many keys give the same."""
+    monkeypatch.setattr(gold, "FEW_KEYS", few, raising=False)
+    keys = [f"k{i:03d}" for i in range(120)]
+    old = silver_rows(spark, keys[:118])
+    alone = silver_rows(spark, keys[118:], "t_alone")
+    before = [old[t].unionByName(alone[t]) for t in AUDIT_READS]
+    path = f"{tmp_path}/audit"
+    tables.overwrite_partitioned(tables.bucketed(gold.expense_audit(*before), "expense_id"), path, ("tenant_id", "bucket"))
+    # 0 to 9 change, 10 moves to another tenant, 11 is no longer approved, the tenant of 118 and 119 loses both, one is new.
+    state = silver_rows(spark, keys[:10] + ["new"], vendor="edited")
+    moved, same = silver_rows(spark, keys[10:11], "t_moved"), silver_rows(spark, keys[12:118])
+    now = [state[t].unionByName(moved[t]).unionByName(same[t]) for t in AUDIT_READS]
+    dirty = keys[:12] + keys[118:] + ["new"]
+    shared = f"{tmp_path}/shared"
+    monkeypatch.setattr(tables, "scratch_dir", lambda spark, purpose: f"{shared}/{purpose}-{len(glob.glob(f'{shared}/*'))}")
+    frame = spark.createDataFrame([(k,) for k in dirty * 3 + [None]], "expense_id string")
+    new = gold.refresh_audit(path, frame, *now)
+    assert rows_of(new.select("expense_id", "tenant_id")) == sorted([*[(k, "t_a") for k in keys[:10] + ["new"]], (keys[10], "t_moved")])
+    got = tables.read_table(spark, path)
+    assert rows_of(got.select(*AUDIT)) == rows_of(gold.expense_audit(*now).select(*AUDIT))
+    assert not glob.glob(f"{path}/tenant_id=t_alone/*")
+    # Keys and new rows have a table each; others hold partitions. 106 rows stay, most of them in touched partitions.
+    sizes = {f: spark.read.parquet(f) for f in glob.glob(f"{shared}/*")}
+    written = sorted(df.count() for df in sizes.values() if {"expense_id"} <= set(df.columns))
+    assert written == [len(new.collect()), len(dirty)]
+
+
+def test_replaced_keys_may_repeat(spark, tmp_path):
+    """Keys that come many times, and rows of a key that come twice, neither multiply nor stay; a null key stays."""
+    path, schema = f"{tmp_path}/t", "k string, v int, tenant_id string"
+    table = spark.createDataFrame([("a", 1, "t_x"), ("a", 2, "t_x"), ("b", 3, "t_x"), (None, 4, "t_x"), ("c", 5, "t_y"), ("c", 6, "t_y")], schema)
+    tables.overwrite_partitioned(tables.bucketed(table, "k", 1), path, ("tenant_id", "bucket"))
+    fresh = tables.bucketed(spark.createDataFrame([("a", 7, "t_x"), ("a", 7, "t_x")], schema), "k", 1)
+    dirty = spark.createDataFrame([("a",), ("a",), ("c",), ("c",), (None,)], "k string")
+    new = tables.replace_keys(fresh, dirty, path, "k")
+    assert rows_of(new.select("k", "v")) == [("a", "7"), ("a", "7")]
+    got = tables.read_table(spark, path)
+    assert sorted((r.k or "", r.v) for r in got.collect()) == [("", 4), ("a", 7), ("a", 7), ("b", 3)]
+    assert not glob.glob(f"{path}/tenant_id=t_y/*")
+
+
+def test_refresh_query_folds_the_change_log_once(spark, monkeypatch):
+    from cuentaclara.plans import queries
+
+    seen = []
+    refresh = gold.refresh_audit
+    monkeypatch.setattr(gold, "refresh_audit", lambda path, dirty, expenses, ocr, hitl, events: (
+        seen.append(hitl._jdf.queryExecution().toString()), refresh(path, dirty, expenses, ocr, hitl, events))[1])
+    assert queries.QUERIES["changed_key_refresh"](spark, SF).count() > 100
+    assert len(seen) == 1 and "Window" not in seen[0] and "lineitem" not in seen[0]
+
+
 def test_sync_embeds_what_differs_and_nothing_else(spark, tmp_path):
     path = f"{tmp_path}/embeddings"
 
