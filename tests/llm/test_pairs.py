@@ -119,6 +119,25 @@ def test_jaccard_on_odd_rows(odd):
     assert kept.count() == len(classes) + sum(n == 0 for _, n, _ in jaccard_expected(rows))
 
 
+def test_only_elements_of_several_sets_are_moved(spark, monkeypatch):
+    """Before, each element of each prefix was written, counted and joined, and that once for every repetition of a row."""
+    sizes, real = {}, jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "COUNT_FLUSH", 200)
+
+    def counted(df, purpose):
+        out = real(df, purpose)
+        sizes[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    own = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)]
+    near = [(100 + i, " ".join(f"n{j}" for j in range(60)) + f" end{i}") for i in range(3)]
+    rows = own + [own[7]] * 30 + near + [(None, own[3][1]), (None, near[0][1])]
+    assert jaccard_found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == jaccard_expected(rows)
+    # Three near copies with prefixes of ten elements each, and no copy of a row.
+    assert 0 < sizes["jaccard-keys"] <= 30 and sizes["jaccard-met"] <= 30
+
+
 def test_jaccard_of_nothing(nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
