@@ -5,14 +5,15 @@ An index folder holds numbered segments of four tables:
 * ``forward``   one row per chunk version: length, hash of the text, terms with their counts; no terms for a deleted chunk;
 * ``postings``  blocks of at most ``BLOCK`` entries of one term of one tenant, with the largest count and the smallest length
   in the block, which bound the score of every entry whatever the averages are by then;
-* ``removed``   entries of versions that a segment replaced or deleted;
+* ``removed``   blocks of the entries of versions that a segment replaced or deleted;
 * ``totals``    number of chunks and of words per tenant, added or taken away by the segment. It is written last: a segment
   without it does not count, and a build or an update that is run again writes its segment anew.
 
-Postings lie in ``parts`` folders by hash of (tenant, term), so a search reads the folders of its terms only. Within a
-term, entries are sorted by their weight, so the first blocks hold the best ones. A search opens the first blocks of each
-term, takes the k-th best sum so far as a lower bound, and then opens those blocks whose own bound and those of the
-query's other terms together reach it. What is left closed cannot be among the first k, so results equal a full scan.
+Postings lie in ``parts`` folders by hash of (tenant, term), so a search reads the folders of its terms only. A task makes
+blocks of about ``RUN`` entries at a time, from the forward table, and sorts each term's entries in them by weight: no entry is
+shuffled. A search opens the blocks of each term with the best bounds, takes the k-th best sum so far as a lower bound, and then
+opens those blocks whose own bound and those of the query's other terms together reach it. What is left closed cannot be among the
+first k, so results equal a full scan. Neither are texts shuffled, but those that an update finds changed and those of repeated keys.
 
 Defined results: (tenant_id, chunk_id) is the key of a chunk; of repeated rows the one with the greatest text counts. A null
 text is an empty one, which counts as a chunk without words.
@@ -36,18 +37,23 @@ from cuentaclara.sources.tables import finished, staged, subfolders
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 128
+#: Entries that a task sorts at once.
+RUN = 2_000_000
 PARTS = 64
+#: Places of the hash of a key by which rows that cannot match are left out before a join; a bit each.
+MARKS = 1 << 24
 #: Blocks of a query's term that are opened first.
 FIRST_BLOCKS = 2
+#: Terms of a batch of queries up to which they are sent to all tasks, so that blocks of other terms are not shuffled.
+FEW_TERMS = 100_000
 #: Scores are rounded to six digits; closer bounds are not told apart.
 MARGIN = 2e-6
 KEY = ["tenant_id", "chunk_id"]
 TERMS = "array<struct<term: string, tf: int>>"
 FORWARD = f"tenant_id string, chunk_id string, length int, text_hash bigint, terms {TERMS}, version int, part int"
-POSTING = "tenant_id string, term string, chunk_id string, version int, tf int, length int"
+HEADERS = "tenant_id string, term string, block bigint, n int, max_tf int, min_length int, version int, part int"
 BLOCKS = ("tenant_id string, term string, block bigint, n int, max_tf int, min_length int, "
           "entries array<struct<chunk_id: string, version: int, tf: int, length: int>>, version int, part int")
-REMOVED = f"{POSTING}, part int"
 TOTALS = "tenant_id string, docs bigint, words bigint, version int"
 
 
@@ -80,6 +86,12 @@ class Index:
         wanted = [r["part"] for r in rows.select("part").distinct().collect()]
         return self.table(name, schema).where(F.col("part").isin(wanted))
 
+    def of_terms(self, name: str, schema: str, asked: DataFrame) -> DataFrame:
+        """Only the blocks of the terms of ``asked``, read from their folders."""
+        terms = asked.select("part", "tenant_id", "term").distinct()
+        few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        return self.of_parts(name, schema, asked).join(F.broadcast(terms) if few else terms, ["part", "tenant_id", "term"], "left_semi")
+
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
     """Columns that are evaluated once per row: the generator keeps them from being copied into each use."""
@@ -87,8 +99,47 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def latest_texts(chunks: DataFrame) -> DataFrame:
-    """tenant_id, chunk_id and chunk_text, one row per key."""
-    return chunks.groupBy(*KEY).agg(F.max(F.coalesce(F.col("chunk_text"), F.lit(""))).alias("chunk_text"))
+    """tenant_id, chunk_id and chunk_text, one row per key. Only texts of repeated keys are shuffled, which are found without any text."""
+    rows = chunks.select(*KEY, F.coalesce(F.col("chunk_text"), F.lit("")).alias("chunk_text"))
+    repeated = staged(chunks.select(*KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEY), "repeated-keys")
+    if repeated.isEmpty():
+        return rows
+    marked = _marked(rows, repeated, KEY)
+    several = marked.where("_marked").groupBy(*KEY).agg(F.max("chunk_text").alias("chunk_text"))
+    return marked.where("NOT _marked").drop("_marked").unionByName(several)
+
+
+def _marked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` and a column _marked: false where no row of ``keys`` has their columns ``on``. It is true of few others.
+
+    Tasks get one bit for each of ``MARKS`` places of the hash of a key, so what is sent to them does not grow.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(MARKS)).cast("int")
+    words = keys.select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, dtype="int64")
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared, carried = rows.sparkSession.sparkContext.broadcast(marks.view("uint8")), rows.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.column("_place").to_numpy()
+            found = (shared.value[at >> 3] >> (at & 7).astype("uint8") & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(found)], names=[*carried, "_marked"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.select("*", place.alias("_place")).mapInArrow(run, f"{kinds}, _marked boolean")
+
+
+def _matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose columns ``on`` are those of a row of ``keys``, nulls included; few others are shuffled."""
+    wanted = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return _marked(rows, keys, on).where("_marked").drop("_marked").join(wanted, same, "left_semi")
 
 
 def counted_terms(rows: DataFrame) -> DataFrame:
@@ -117,98 +168,117 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame | None = None) -
         raise ValueError("build the index first")
     version = have[-1] + 1
     fresh, keys = latest_texts(changed), changed.select(*KEY).distinct()
+    # Hashes say which texts differ; words are taken from those alone, once. Only folders that hold one of the keys are read.
+    hashed = fresh.select(*KEY, text_hash(F.col("chunk_text")).alias("_new"))
     if deleted is not None:
         gone = deleted.select(*KEY).distinct().join(keys, KEY, "left_anti")
-        fresh, keys = fresh.unionByName(gone.withColumn("chunk_text", F.lit(None).cast("string"))), keys.unionByName(gone)
-    # Hashes say which texts differ; words are taken from those alone, once. Only folders that hold one of the keys are read.
-    hashed = fresh.withColumn("_new", F.when(F.col("chunk_text").isNotNull(), text_hash(F.col("chunk_text"))))
-    known = current_forward(index, keys.withColumn("part", index.part(*KEY))).select(*KEY, F.col("text_hash").alias("_hash"))
-    differs = staged(hashed.join(known, KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_hash"))).select(*KEY, "chunk_text"), "changed-texts")
-    old = current_forward(index, differs.select(*KEY, index.part(*KEY).alias("part"))).select(
-        *KEY, F.col("length").alias("_length"), F.col("terms").alias("_terms"), F.col("version").alias("_version"))
+        hashed, keys = hashed.unionByName(gone.withColumn("_new", F.lit(None).cast("bigint"))), keys.unionByName(gone)
+    known = current_forward(index, keys.withColumn("part", index.part(*KEY)), ["length", "text_hash"]).select(
+        *KEY, F.col("text_hash").alias("_hash"), F.col("length").alias("_length"), F.col("version").alias("_version"))
+    differs = staged(hashed.join(known, KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_hash"))).select(
+        *KEY, F.col("_new").isNotNull().alias("_there"), "_length", "_version"), "changed-keys")
+    if differs.isEmpty():
+        return None
     # A deleted chunk has no text, and neither words nor a hash.
-    there = F.col("chunk_text").isNotNull()
-    counted = counted_terms(differs.where(there)).unionByName(differs.where(~there).select(
+    counted = counted_terms(_matching(fresh, differs.where("_there"), KEY)).unionByName(differs.where("NOT _there").select(
         *KEY, F.lit(None).cast("int").alias("length"), F.lit(None).cast("bigint").alias("text_hash"), F.lit(None).cast(TERMS).alias("terms")))
-    joined = staged(counted.join(old, KEY, "left"), "changed-terms")
-    return version if _write_segment(index, version, joined.select(*KEY, "length", "text_hash", "terms"), joined) else None
+    _write_segment(index, version, counted, differs.where("_version IS NOT NULL"))
+    return version
 
 
-def current_forward(index: Index, keys: DataFrame | None = None) -> DataFrame:
+def current_forward(index: Index, keys: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """The newest version of each chunk that still exists, of all chunks or of the given (tenant_id, chunk_id, part)."""
     rows = index.table("forward", FORWARD)
     if keys is not None:
-        rows = index.of_parts("forward", FORWARD, keys).join(keys, [*KEY, "part"], "left_semi")
+        rows = index.of_parts("forward", FORWARD, keys).join(keys.select(*KEY), KEY, "left_semi")
+    if columns is not None:
+        rows = rows.select(*KEY, *columns, "version")
     return top_per_key(rows, KEY, [F.col("version").desc()], 1, "_rank").drop("_rank").where(F.col("length").isNotNull())
 
 
-def _write_segment(index: Index, version: int, fresh: DataFrame, replaced: DataFrame | None) -> bool:
-    """``replaced`` has the old versions (columns with an underscore) of the keys in ``fresh``, null where there is none."""
+def _write_segment(index: Index, version: int, fresh: DataFrame, replaced: DataFrame | None) -> None:
+    """``replaced`` has keys, _version and _length of the old versions of what is in ``fresh``."""
     def write(df: DataFrame, table: str) -> DataFrame:
-        parted = "part" in df.columns
-        out = df.hint("rebalance", "part") if parted and table != "postings" else df
-        writer = out.write.mode("overwrite")
-        (writer.partitionBy("part") if parted else writer).parquet(index.path(version, table))
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy("part") if "part" in df.columns else writer).parquet(index.path(version, table))
         return index.spark.read.schema(df.schema).parquet(index.path(version, table))
 
+    def write_blocks(rows: DataFrame, table: str) -> None:
+        write(_blocks(rows).withColumn("part", index.part("tenant_id", "term")), table)
+
     spelled = F.lit(version).alias("version")
-    if replaced is None:
-        removed = None
-    else:
-        old = replaced.where(F.col("_version").isNotNull())
-        removed = write(old.select("tenant_id", "chunk_id", F.col("_length").alias("length"), F.col("_version").alias("version"), F.inline_outer("_terms")).select(
-            "tenant_id", "term", "chunk_id", "version", "tf", "length", index.part("tenant_id", "term").alias("part")), "removed")
+    if replaced is not None:
+        keys = replaced.select(*KEY, F.col("_version").alias("version"))
+        old = index.of_parts("forward", FORWARD, keys.select(index.part(*KEY).alias("part"))).select(*KEY, "length", "terms", "version")
+        write_blocks(_matching(old, keys, [*KEY, "version"]), "removed")
     forward = write(fresh.select("*", spelled, index.part(*KEY).alias("part")), "forward")
-    if replaced is not None and forward.isEmpty():
-        return False
-    entries = forward.select("tenant_id", "chunk_id", "length", "version", F.inline("terms")).withColumn("part", index.part("tenant_id", "term"))
-    write(_blocks(entries), "postings")
+    write_blocks(forward, "postings")
     added = forward.where("terms IS NOT NULL").select("tenant_id", F.lit(1).alias("docs"), "length")
-    if removed is not None:
-        # One row per replaced version: a chunk without words has one with an empty term.
-        taken = removed.groupBy(*KEY).agg(F.max("length").alias("length")).select("tenant_id", F.lit(-1).alias("docs"), (-F.col("length")).alias("length"))
-        added = added.unionByName(taken)
+    if replaced is not None:
+        added = added.unionByName(replaced.select("tenant_id", F.lit(-1).alias("docs"), (-F.col("_length")).alias("length")))
     totals = added.groupBy("tenant_id").agg(F.sum("docs").cast("bigint").alias("docs"), F.sum("length").cast("bigint").alias("words")).select("*", spelled)
     write(totals, "totals")
-    return True
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """Entries sorted by term and weight, cut into blocks inside the tasks. A frequent term spans as many tasks as it needs."""
-    weight = F.col("tf") / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(100.0)))
-    order = ["part", "tenant_id", "term", F.col("_weight").desc(), "chunk_id"]
-    placed = entries.withColumn("_weight", weight).repartitionByRange(*order).sortWithinPartitions(*order).drop("_weight")
-
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of the entries of rows (tenant_id, chunk_id, length, version, terms): a task sorts ``RUN`` entries at a time by
+    tenant, term and weight and cuts them, so what it holds does not grow with a term or with the table."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
+
+        def cut(held: list) -> pa.RecordBatch:
+            def column(name: str):
+                parts = [b.column(name) for b in held]
+                return pa.concat_arrays([p.cast(pa.large_string()) if pa.types.is_string(p.type) else p for p in parts])
+
+            terms = column("terms")
+            n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy().astype("int64")
+            row, flat = np.repeat(np.arange(len(n)), n), terms.flatten()
+            term, tenant = flat.field("term").dictionary_encode(), column("tenant_id").dictionary_encode()
+            tf, length = flat.field("tf").to_numpy(), column("length").to_numpy(zero_copy_only=False)[row]
+            owner = pc.fill_null(tenant.indices, len(tenant.dictionary)).to_numpy()[row].astype("int64")
+            group = owner * (len(term.dictionary) + 1) + term.indices.to_numpy()
+            weight = tf / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / 100.0))
+            order = np.lexsort((-weight, group))
+            group, row, tf, length = group[order], row[order], tf[order], length[order].astype("int32")
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            ends = np.append(starts[1:], len(group))
+            many = (ends - starts + BLOCK - 1) // BLOCK
+            at = np.repeat(starts - (np.cumsum(many) - many) * BLOCK, many) + np.arange(int(many.sum())) * BLOCK
+            bounds, rows_ = np.append(at, len(group)), pa.array(row)
+            versions = column("version").take(rows_)
+            entry = pa.StructArray.from_arrays(
+                [column("chunk_id").take(rows_).cast(pa.string()), versions, pa.array(tf), pa.array(length)], names=["chunk_id", "version", "tf", "length"])
+            return pa.RecordBatch.from_arrays(
+                [column("tenant_id").take(rows_.take(pa.array(at))).cast(pa.string()), flat.field("term").take(pa.array(order[at])).cast(pa.string()),
+                 pa.array(number + np.arange(len(at))), pa.array(np.diff(bounds), pa.int32()), pa.array(np.maximum.reduceat(tf, at)),
+                 pa.array(np.minimum.reduceat(length, at)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entry), versions.take(pa.array(at))],
+                names=["tenant_id", "term", "block", "n", "max_tf", "min_length", "entries", "version"])
+
+        held, size = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            begins = np.zeros(n, dtype=bool)
-            begins[0] = True
-            for c in ("tenant_id", "term"):
-                values = batch.column(c)
-                begins[1:] |= ~pc.fill_null(pc.equal(values.slice(1), values.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(begins)
-            ends = np.append(starts[1:], n)
-            at = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, ends, strict=True)])
-            sizes = np.diff(np.append(at, n))
-            entry = pa.StructArray.from_arrays([batch.column(c) for c in ("chunk_id", "version", "tf", "length")], names=["chunk_id", "version", "tf", "length"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), entry)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("tenant_id").take(take), batch.column("term").take(take), pa.array(number + np.arange(len(at))), pa.array(sizes, pa.int32()),
-                 pa.array(np.maximum.reduceat(batch.column("tf").to_numpy(), at), pa.int32()), pa.array(np.minimum.reduceat(batch.column("length").to_numpy(), at), pa.int32()),
-                 lists, batch.column("version").take(take), batch.column("part").take(take)],
-                names=["tenant_id", "term", "block", "n", "max_tf", "min_length", "entries", "version", "part"])
-            number += len(at)
-
-    return placed.select("tenant_id", "term", "chunk_id", "version", "tf", "length", "part").mapInArrow(run, BLOCKS)
+            amounts = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = int(amounts[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(amounts, before + RUN - size, side="right")))
+                held.append(batch.slice(start, stop - start))
+                size, start = size + int(amounts[stop - 1]) - before, stop
+                if size >= RUN or start < batch.num_rows:
+                    if size:
+                        made = cut(held)
+                        number += made.num_rows
+                        yield made
+                    held, size = [], 0
+        if size:
+            yield cut(held)
+
+    kinds = BLOCKS.removesuffix(", part int")
+    return rows.select("tenant_id", "chunk_id", "length", "version", "terms").mapInArrow(run, kinds)
 
 
 def _weight(tf: Column, length: Column, k1: float, b: float) -> Column:
@@ -223,9 +293,8 @@ def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
 def bounded_blocks(index: Index, queries: DataFrame, *, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Per query and block of its terms: idf, average length and the largest score that an entry can have. Reads no entries."""
     asked = asked_terms(index, queries)
-    terms = asked.select("tenant_id", "term", "part").distinct()
-    headers = index.of_parts("postings", BLOCKS, asked).drop("entries").join(terms, ["part", "tenant_id", "term"], "left_semi")
-    dead = index.of_parts("removed", REMOVED, asked).join(terms, ["part", "tenant_id", "term"], "left_semi").groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("_dead"))
+    headers = index.of_terms("postings", HEADERS, asked)
+    dead = index.of_terms("removed", HEADERS, asked).groupBy("tenant_id", "term").agg(F.sum("n").alias("_dead"))
     amounts = headers.groupBy("tenant_id", "term").agg(F.sum("n").alias("_all")).join(dead, ["tenant_id", "term"], "left").select(
         "tenant_id", "term", (F.col("_all") - F.coalesce("_dead", F.lit(0))).alias("_df"))
     totals = index.table("totals", TOTALS).groupBy("tenant_id").agg(F.sum("docs").alias("_docs"), (F.sum("words") / F.sum("docs")).alias("_corpus_length"))
@@ -239,11 +308,11 @@ def bounded_blocks(index: Index, queries: DataFrame, *, k1: float = BM25_K1, b:
 def _scores(index: Index, opened: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
     """Sums per query and chunk over the entries of the opened blocks, without replaced versions."""
     place = ["part", "tenant_id", "term", "version", "block"]
-    blocks = index.of_parts("postings", BLOCKS, asked).select(*place, "entries").join(opened, place)
+    # Blocks of other terms are left out before the join with the opened ones, whose size is not known then.
+    blocks = index.of_terms("postings", BLOCKS, asked).select(*place, "entries").join(opened, place)
     entries = blocks.select("query_id", "tenant_id", "term", "part", "_idf", "_corpus_length", F.inline("entries"))
     same = [*KEY, "part", "term", "version"]
-    terms = asked.select("tenant_id", "term", "part").distinct()
-    dead = index.of_parts("removed", REMOVED, asked).join(terms, ["part", "tenant_id", "term"], "left_semi").select(*same)
+    dead = index.of_terms("removed", BLOCKS, asked).select("tenant_id", "term", "part", F.inline("entries")).select(*same)
     alive = entries.join(dead, same, "left_anti")
     return alive.groupBy("query_id", *KEY).agg(F.sum(_weight(F.col("tf"), F.col("length"), k1, b)).alias("_sum"))
 

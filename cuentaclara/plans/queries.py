@@ -1434,8 +1434,7 @@ def _(d):
 def _(d):
     # An index of other texts, with chunks that are no more and without some that are, brought up to date by what differs.
     place = scratch_dir(d.spark, "postings")
-    d.chunks.select("chunk_id", "tenant_id", "chunk_text").write.parquet(f"{place}/chunks")
-    chunks = d.spark.read.parquet(f"{place}/chunks")
+    chunks = d.chunks.select("chunk_id", "tenant_id", "chunk_text")
     early = chunks.where("tenant_id <> 't_2'").select(
         "chunk_id", "tenant_id", F.when(F.col("tenant_id") == "t_3", F.concat(F.lit("reau "), "chunk_text")).otherwise(F.col("chunk_text")).alias("chunk_text"))
     gone = chunks.where("tenant_id = 't_1'").select(F.concat(F.lit("old_"), "chunk_id").alias("chunk_id"), "tenant_id", "chunk_text")
@@ -1558,8 +1557,7 @@ def _(d):
 def _(d):
     # One tenant is new, one was edited, some chunks are gone; the others keep vector and time.
     place = scratch_dir(d.spark, "embeddings")
-    d.chunks.select("chunk_id", "tenant_id", "chunk_text").write.parquet(f"{place}/chunks")
-    chunks = d.spark.read.parquet(f"{place}/chunks")
+    chunks = d.chunks.select("chunk_id", "tenant_id", "chunk_text")
     edited = F.when(F.col("tenant_id") == "t_3", F.concat("chunk_text", F.lit(" before"))).otherwise(F.col("chunk_text"))
     gone = chunks.where("tenant_id = 't_1'").withColumn("chunk_id", F.concat(F.lit("gone_"), "chunk_id"))
     earlier = chunks.where("tenant_id <> 't_2'").withColumn("chunk_text", edited).unionByName(gone)

@@ -236,6 +236,27 @@ def test_an_update_takes_words_only_from_changed_texts(spark, queries, tmp_path,
     same(index, after, queries, 10)
 
 
+def test_no_entry_is_shuffled_and_texts_only_where_a_key_repeats(spark, queries, tmp_path, monkeypatch):
+    """Before, every text was dealt out by key and every entry of a word by range, several times the input on disk."""
+    rows = corpus(5, 120)
+    df = spark.createDataFrame(rows, CHUNK).repartition(3)
+    assert "Exchange" not in postings._blocks(postings.counted_terms(df).withColumn("version", F.lit(0)))._jdf.queryExecution().executedPlan().toString().replace(
+        "Exchange RoundRobinPartitioning", "")
+    whole = spark.createDataFrame(rows, CHUNK)
+    assert "Exchange" not in postings.latest_texts(whole)._jdf.queryExecution().executedPlan().toString()
+    # Runs of a few entries, and a chunk that is changed, repeated and of a null key.
+    monkeypatch.setattr(postings, "RUN", 40)
+    monkeypatch.setattr(postings, "FEW_TERMS", 0)
+    index = postings.Index(spark, f"{tmp_path}/index", parts=3)
+    odd = [(None, "t0", "alpha"), ("c0001", "t1", "alpha beta rare3"), ("c0001", "t1", "alpha")]
+    postings.build(index, spark.createDataFrame(rows + odd, CHUNK))
+    after = [(c, t, "beta rare9 rare9" if c == "c0005" else x) for c, t, x in rows if c != "c0007"]
+    assert postings.update(index, spark.createDataFrame(after, CHUNK), spark.createDataFrame([("c0007", "t1", None), (None, "t0", None)], CHUNK)) == 1
+    same(index, spark.createDataFrame([*after, odd[0]], CHUNK), queries, 10)  # a null key meets no other, so its chunk stays
+    totals = index.table("totals", postings.TOTALS).groupBy("tenant_id").agg(F.sum("docs").alias("docs")).collect()
+    assert sum(r.docs for r in totals) == len(after) + 1
+
+
 def test_repeated_rows_and_an_empty_table(spark, queries, tmp_path):
     rows = [("a", "t0", "alpha"), ("a", "t0", "alpha beta"), ("a", "t1", "alpha"), ("b", "t0", "beta beta")]
     index = postings.Index(spark, f"{tmp_path}/index", parts=2)
