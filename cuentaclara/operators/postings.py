@@ -38,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 128
 #: Entries that a task sorts at once.
-RUN = 2_000_000
+RUN = 1_000_000
 PARTS = 64
 #: Places of the hash of a key by which rows that cannot match are left out before a join; a bit each.
 MARKS = 1 << 24
