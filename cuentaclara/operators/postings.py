@@ -38,7 +38,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 128
 #: Entries that a task sorts at once.
-RUN = 1_000_000
+RUN = 500_000
+#: Rows with texts or words that go to Python at once; the usual 10,000 hold millions of words.
+BATCH_ROWS = 500
 PARTS = 64
 #: Places of the hash of a key by which rows that cannot match are left out before a join; a bit each.
 MARKS = 1 << 24
@@ -200,7 +202,13 @@ def _write_segment(index: Index, version: int, fresh: DataFrame, replaced: DataF
     """``replaced`` has keys, _version and _length of the old versions of what is in ``fresh``."""
     def write(df: DataFrame, table: str) -> DataFrame:
         writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy("part") if "part" in df.columns else writer).parquet(index.path(version, table))
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = index.spark.conf.get(key)
+        index.spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            (writer.partitionBy("part") if "part" in df.columns else writer).parquet(index.path(version, table))
+        finally:
+            index.spark.conf.set(key, before)
         return index.spark.read.schema(df.schema).parquet(index.path(version, table))
 
     def write_blocks(rows: DataFrame, table: str) -> None:
